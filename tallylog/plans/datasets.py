@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallylog.operators import changes, orphans, ranges
+from tallylog.operators import changes, drift, orphans, ranges
 from tallylog.sources.tables import table, table_path
 from tallylog.streaming import dedup
 
@@ -25,11 +25,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return dedup.superfluous_copies(spark, table_path(d, "messages"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.schema_changes(table(spark, d, "message_files"))
+
+
+def p4_table(spark: SparkSession, d: str) -> DataFrame:
+    return drift.consistent_table(table(spark, d, "message_files"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return orphans.message_orphans(*(table(spark, d, t) for t in ("wal_records", "raft_commands", "messages", "expired_messages")))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_table": p4_table, "p5_found": p5_found}
 
 _ID = "nullif(lower(trim({0}, ' ')), '')"
 
