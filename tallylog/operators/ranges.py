@@ -63,18 +63,28 @@ def range_of(df: DataFrame, keys: list[str], order: str, bounds: list[tuple]) ->
     )
 
 
-def running_before(df: DataFrame, keys: list[str], order: str, value: Column, name: str, ranges: int | None = None) -> DataFrame:
-    """df with column `name`: the largest `value` among the rows of the same keys with a smaller `order`.
+#: How a running value goes on from one range into the next.
+_JOIN = {
+    "max": lambda a, b: F.greatest(a, b),
+    "min": lambda a, b: F.least(a, b),
+    "sum": lambda a, b: F.coalesce(a + b, a, b),
+}
+_STEP = {"max": F.max, "min": F.min, "sum": F.sum}
+
+
+def running(df: DataFrame, keys: list[str], order: str, values: dict[str, tuple[str, Column]], inclusive: bool, ranges: int | None = None) -> DataFrame:
+    """df with one column per entry of `values`: ('max' | 'min' | 'sum', expression) over the rows of the same keys up to each row.
 
-    value may be of any ordered type, structs included (a struct that begins with
-    the order column gives the row before). Null when no such row has a value.
+    Without `inclusive` only rows with a smaller `order` count, with it those with
+    an equal one too. Expressions of max and min may be of any ordered type,
+    structs included (a struct that begins with the order column gives the row
+    before). Null where no such row has a value.
 
     Rows whose keys or order are null have no place in any sequence and are left
-    out. Rows with equal order don't see one another; they share a range. A key
-    may hold any share of the rows: it is cut at the sampled boundaries. Columns
-    of df beyond those named are kept whatever their names, except names that
-    start with two underscores. An empty df gives an empty result. `order` is of
-    an integer type.
+    out. Rows with equal order share a range. A key may hold any share of the
+    rows: it is cut at the sampled boundaries. Columns of df beyond those named
+    are kept whatever their names, except names that start with two underscores.
+    An empty df gives an empty result. `order` is of an integer type.
     """
     df = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, order]]))
     spark = df.sparkSession
@@ -83,26 +93,34 @@ def running_before(df: DataFrame, keys: list[str], order: str, value: Column, na
     cut = df.withColumn(_RANGE, range_of(df, keys, order, bounds))
     # repartitionById is exact: one range per partition, none by chance together
     spread = cut.repartitionById(len(bounds) + 1, _RANGE)
-    within = Window.partitionBy(_RANGE, *keys).orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
-    local = spread.withColumn(_LOCAL, F.max(value).over(within))
+    within = Window.partitionBy(_RANGE, *keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = spread.select("*", *[_STEP[op](value).over(within).alias(_LOCAL + name) for name, (op, value) in values.items()])
     if not bounds:
-        return local.withColumnRenamed(_LOCAL, name).drop(_RANGE)
+        return local.withColumnsRenamed({_LOCAL + name: name for name in values}).drop(_RANGE)
     # only keys that own a boundary can continue from one range into the next
     kinds = dict(df.dtypes)
     owners = spark.createDataFrame(sorted({b[:-1] for b in bounds}), ",".join(f"`{k}` {kinds[k]}" for k in keys))
     state = (
         cut.join(F.broadcast(owners), keys, "left_semi")
         .groupBy(*keys, _RANGE)
-        .agg(F.max(value).alias(_TOP))
+        .agg(*[_STEP[op](value).alias(_TOP + name) for name, (op, value) in values.items()])
     )
     earlier = Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = state.withColumn(_CARRY, F.max(_TOP).over(earlier)).where(F.col(_CARRY).isNotNull()).drop(_TOP)
+    carried = state.select(*keys, _RANGE, F.lag(_RANGE).over(Window.partitionBy(*keys).orderBy(_RANGE)).alias("__goes_on"), *[_STEP[op](_TOP + name).over(earlier).alias(_CARRY + name) for name, (op, _) in values.items()])
+    carry = carried.where(F.col("__goes_on").isNotNull()).drop("__goes_on")
     # carry has at most one row per boundary, so it is safe to broadcast
-    return (
-        local.join(F.broadcast(carry), [*keys, _RANGE], "left")
-        .withColumn(name, F.greatest(_LOCAL, _CARRY))
-        .drop(_RANGE, _LOCAL, _CARRY)
-    )
+    joined = local.join(F.broadcast(carry), [*keys, _RANGE], "left")
+    return joined.select(*[F.col(c) for c in df.columns], *[_JOIN[op](F.col(_LOCAL + name), F.col(_CARRY + name)).alias(name) for name, (op, _) in values.items()])
+
+
+def running_before(df: DataFrame, keys: list[str], order: str, value: Column, name: str, ranges: int | None = None) -> DataFrame:
+    """df with column `name`: the largest `value` among the rows of the same keys with a smaller `order` (see running)."""
+    return running(df, keys, order, {name: ("max", value)}, inclusive=False, ranges=ranges)
+
+
+def positions(df: DataFrame, keys: list[str], order: str, name: str, ranges: int | None = None) -> DataFrame:
+    """df with column `name`: each row's place, from 1, within its keys by a unique `order` (see running)."""
+    return running(df, keys, order, {name: ("sum", F.lit(1).cast("long"))}, inclusive=True, ranges=ranges)
 
 
 def late_rows(df: DataFrame, key: str, order: str, clock: str, slack: int, ranges: int | None = None) -> DataFrame:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from tallylog.plans import datasets
+from tallylog.plans import datasets, queues, scalars
 
-FLAGSHIP = "p1_found"
+FLAGSHIP = "route_topic"
 
-_MODULES = [datasets]
+_PLANS = [scalars.P, queues.P]
 
 
 def queries() -> dict:
-    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+    return datasets.QUERIES | {name: f for p in _PLANS for name, f in p.queries.items()}
 
 
 def sql() -> dict[str, str]:
-    return {name: text for m in _MODULES for name, text in m.SQL.items()}
+    return datasets.SQL | {name: text for p in _PLANS for name, text in p.sql.items()}
