@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tallylog.plans import datasets, queues, scalars
+from tallylog.plans import datasets, queues, scalars, state, streams
 
 FLAGSHIP = "route_topic"
 
-_PLANS = [scalars.P, queues.P]
+_PLANS = [scalars.P, queues.P, state.P, streams.P]
 
 
 def queries() -> dict:

@@ -37,17 +37,20 @@ def first_sightings(arrivals: DataFrame, key: str, event_time: str, watermark: s
     return arrivals.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([key])
 
 
-def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Process all that has arrived, then stop; a later call with the same folders goes on from there."""
+def run_to_end(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", each=None) -> None:
+    """Process all that has arrived, then stop; a later call with the same folders goes on from there.
+
+    each: a function (batch, number) that writes a batch instead of the file sink;
+    it must give the same result when a batch is repeated.
+    """
     spark = stream.sparkSession
     before = {k: spark.conf.get(k, None) for k in _STORE}
     try:
         for k, v in _STORE.items():
             spark.conf.set(k, v)
-        query = (
-            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
+        writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
+        writer = writer.foreachBatch(each) if each else writer.format("parquet").option("path", out)
+        writer.start().awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -58,6 +61,14 @@ def rank_of(delivery_count: str = "delivery_count", retry: str = "retry", row_id
     return F.struct(F.col(delivery_count).alias("a"), F.col(retry).alias("b"), (-F.col(row_id)).alias("c"))
 
 
+def stream_place(spark: SparkSession, path: str) -> tuple[str, str | None]:
+    """The folder to stream from, and the file's name if path is a single file (a file source reads folders)."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
+        return str(where.getParent()), where.getName()
+    return path, None
+
+
 def superfluous_copies(
     spark: SparkSession, path: str, watermark: str = WATERMARK, bytes_per_batch: int | None = BYTES_PER_BATCH, files_per_batch: int | None = None
 ) -> DataFrame:
@@ -70,10 +81,7 @@ def superfluous_copies(
     before its shuffle, and join_counted takes the busy ids.
     """
     schema = spark.read.parquet(path).schema
-    folder, name = path, None
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
-        folder, name = str(where.getParent()), where.getName()  # a file source reads folders
+    folder, name = stream_place(spark, path)
     source = spark.readStream.schema(schema)
     if name:
         source = source.option("pathGlobFilter", name)
