@@ -35,10 +35,13 @@ def orphan_references(refs: DataFrame, parents: DataFrame, removed: DataFrame, b
     parent without an instant exists from ever; a removal without one doesn't count.
     References without a key aren't orphans. Repeated rows each count. Keys may be
     of any frequency: they are combined before each shuffle, and the busiest
-    orphans are joined where they lie. blocks: key ranges of the dictionary.
+    orphans are joined where they lie. Empty parents: every reference is missing.
+    Other columns may have any names. blocks: key ranges of the dictionary.
     """
     blocks = blocks or parallelism(refs.sparkSession)
-    refs = refs.where(F.col("key").isNotNull())
+    others = [c for c in refs.columns if c not in ("key", "at")]
+    row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("struct<none:int>")
+    refs = refs.where(F.col("key").isNotNull()).select("key", "at", row.alias("row"))
     day = _day(F.col("at"))
     facts = (
         refs.groupBy("key", day.alias("day")).agg(F.count("*").alias("n"))
@@ -102,7 +105,9 @@ def orphan_references(refs: DataFrame, parents: DataFrame, removed: DataFrame, b
         .when(F.col("since") > F.col("at"), "late")
     )
     return (
-        found.withColumn("orphan_kind", kind).where(F.col("orphan_kind").isNotNull()).drop("day", "since", "removed_at", "parent")
+        found.withColumn("orphan_kind", kind)
+        .where(F.col("orphan_kind").isNotNull())
+        .select("key", "at", *[F.col(f"row.`{c}`").alias(c) for c in others], "orphan_kind")
     )
 
 

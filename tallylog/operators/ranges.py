@@ -124,11 +124,13 @@ def positions(df: DataFrame, keys: list[str], order: str, name: str, ranges: int
 
 
 def late_rows(df: DataFrame, key: str, order: str, clock: str, slack: int, ranges: int | None = None) -> DataFrame:
-    """Rows whose clock is more than `slack` below the largest clock seen before them in their key.
+    """(key, order, clock) of the rows whose clock is more than `slack` below the largest clock seen before them in their key.
 
     "Before" is by order. Rows with a null key, order or clock are no candidates
-    and aren't compared with. See running_before for skew, ties and empty input.
+    and aren't compared with; equal orders don't see one another; a repeated row
+    comes out as often as it went in. Columns besides the three are dropped,
+    whatever their names. See running for heavy keys and empty input.
     """
-    rows = df.where(F.col(clock).isNotNull())
-    seen = running_before(rows, [key], order, F.col(clock), "__seen", ranges)
-    return seen.where(F.col("__seen") - F.col(clock) > slack).drop("__seen")
+    rows = df.where(F.col(clock).isNotNull()).select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(clock).alias("c"))
+    seen = running_before(rows, ["k"], "o", F.col("c"), "seen", ranges)
+    return seen.where(F.col("seen") - F.col("c") > slack).select(F.col("k").alias(key), F.col("o").alias(order), F.col("c").alias(clock))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallylog.operators import changes, drift, orphans, ranges
+from tallylog.plans.base import CMD, WAL
 from tallylog.sources.tables import table, table_path
 from tallylog.streaming import dedup
 
@@ -42,6 +43,20 @@ QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4
 _ID = "nullif(lower(trim({0}, ' ')), '')"
 
 SQL = {
+    "p2_found": f"""
+        with recursive {WAL}, {CMD},
+        last as (select node_id, msg_id, lsn, rec_type, row_number() over (partition by node_id, msg_id order by lsn desc) as rn from wal where rec_type in (1, 2) and msg_id is not null),
+        gone as (select msg_id, max(seq) as at from cmd where cmd_type = 2 group by 1),
+        i as (select c.msg_id, c.seq as start, (select min(p.seq) from cmd p where p.cmd_type = 7 and p.topic = c.topic and p.seq > c.seq) as until
+          from cmd c left join gone g on c.msg_id = g.msg_id where c.cmd_type = 1 and c.msg_id is not null and (g.at is null or c.seq > g.at)),
+        nx as (select a.msg_id, a.start, a.until, (select min(b.start) from i b where b.msg_id = a.msg_id and b.start > a.until) as nxt from i a),
+        life as (
+          select nx.msg_id, start, until, nxt from nx join (select msg_id, min(start) as start from i group by 1) f using (msg_id, start)
+          union all select nx.msg_id, nx.start, nx.until, nx.nxt from life join nx on nx.msg_id = life.msg_id and nx.start = life.nxt),
+        u as (select msg_id, max(seq) as seq from cmd where cmd_type = 3 and msg_id is not null group by 1)
+        select node_id as feed, msg_id, lsn as pos from last where rn = 1 and rec_type = 1
+        union all
+        select 'raft', life.msg_id, greatest(start, coalesce(u.seq, start)) from life left join u on u.msg_id = life.msg_id where until is null""",
     "p1_found": f"""
         select topic, row_id from (
           select topic, row_id, timestamp_ns, max(timestamp_ns) over (
