@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallylog.functions.ids import canonical_id
 from tallylog.operators.ranges import running_before
+from tallylog.session import materialized
 
 #: Record types of the write-ahead log.
 WAL_PUBLISH, WAL_ACK = 1, 2
@@ -51,7 +52,7 @@ def apply_changes(base: DataFrame, changes: DataFrame, feed: str, key: str, pos:
         .select("feed", "pos", "c.key", (F.col("c.kind") == put).alias("puts"))
     )
     start = base.select(F.col(feed).alias("feed"), F.col(pos).cast("long").alias("pos"), F.col(key).alias("key"), F.lit(True).alias("puts"))
-    log = one.unionByName(start)
+    log = materialized(one.unionByName(start), "changes")  # read several times below
     before = running_before(log, ["feed", "key"], "pos", F.struct("pos", "puts"), "prev")
     images = before.select(
         "feed",
@@ -108,7 +109,7 @@ def raft_live(raft: DataFrame) -> DataFrame:
        +1, its purge -1, its last update replaces the image (-1, +1). sum_images
        keeps what remains.
     """
-    log = committed(raft)
+    log = materialized(committed(raft), "committed")
     msg = F.col("msg_id").isNotNull()
     inserts = log.where((F.col("cmd_type") == RAFT_PUBLISH) & msg)
     purges = log.where((F.col("cmd_type") == RAFT_PURGE) & F.col("topic").isNotNull())
@@ -124,7 +125,7 @@ def raft_live(raft: DataFrame) -> DataFrame:
     others = log.where(F.col("cmd_type").isin(RAFT_ACK, RAFT_UPDATE) & msg).select(
         "msg_id", "pos", F.col("cmd_type").alias("kind"), F.lit(_FOREVER).alias("until")
     )
-    by_message = starts.unionByName(others).withColumn("back", -F.col("pos"))
+    by_message = materialized(starts.unionByName(others).withColumn("back", -F.col("pos")), "by-message")
     closed = running_before(by_message, ["msg_id"], "back", F.when(F.col("kind") == RAFT_ACK, F.col("back")), "removal_back")
     opened = closed.where((F.col("kind") != RAFT_ACK) & F.col("removal_back").isNull())
     firsts = opened.groupBy("msg_id", "until").agg(
