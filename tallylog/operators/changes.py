@@ -22,6 +22,7 @@ WAL_PUBLISH, WAL_ACK = 1, 2
 RAFT_PUBLISH, RAFT_ACK, RAFT_UPDATE, RAFT_PURGE = 1, 2, 3, 7
 
 _FOREVER = 9223372036854775807
+_PURGED = 0
 
 
 def sum_images(images: DataFrame, keys: list[str], sign: str = "sign") -> DataFrame:
@@ -101,10 +102,9 @@ def raft_live(raft: DataFrame) -> DataFrame:
     1. Each insert learns the next purge of its topic, each insert and update the
        next removal of its message, both by running_before over descending
        positions: neither a busy topic nor a busy message is one task's work.
-    2. What a later removal closes has cancelled out. Of the rest, the inserts
-       of one message before one purge are alike but for the first, so they are
-       combined before the shuffle: a message keeps at most one insert per purge
-       of its topics.
+    2. What a later removal closes has cancelled out. Of the rest, only the first
+       insert of a message after each purge of one of its topics can begin a life,
+       so a message keeps at most one insert more than it has purges.
     3. Per message these few inserts, in order, give its lives; each life adds
        +1, its purge -1, its last update replaces the image (-1, +1). sum_images
        keeps what remains.
@@ -127,14 +127,20 @@ def raft_live(raft: DataFrame) -> DataFrame:
     )
     by_message = materialized(starts.unionByName(others).withColumn("back", -F.col("pos")), "by-message")
     closed = running_before(by_message, ["msg_id"], "back", F.when(F.col("kind") == RAFT_ACK, F.col("back")), "removal_back")
-    opened = closed.where((F.col("kind") != RAFT_ACK) & F.col("removal_back").isNull())
-    firsts = opened.groupBy("msg_id", "until").agg(
-        F.min(F.when(F.col("kind") == RAFT_PUBLISH, F.col("pos"))).alias("start"),
-        F.max(F.when(F.col("kind") == RAFT_UPDATE, F.col("pos"))).alias("update"),
-    )
-    per_message = firsts.groupBy("msg_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "until")))).alias("starts"),
-        F.max("update").alias("update"),
+    kept = (F.col("kind") != RAFT_ACK) & F.col("removal_back").isNull()
+    opened = materialized(closed.where(kept).select("msg_id", "pos", "kind", "until"), "opened")
+    puts = opened.where(F.col("kind") == RAFT_PUBLISH)
+    ends = puts.where(F.col("until") < _FOREVER).select("msg_id", F.col("until").alias("pos")).distinct()
+    steps = puts.unionByName(ends.select("msg_id", "pos", F.lit(_PURGED).alias("kind"), F.lit(_FOREVER).alias("until")))
+    seen = running_before(steps, ["msg_id"], "pos", F.struct("pos", "kind"), "prev")
+    firsts = seen.where((F.col("kind") == RAFT_PUBLISH) & (F.col("prev").isNull() | (F.col("prev.kind") == _PURGED)))
+    start_of = F.struct(F.col("pos").alias("start"), "until")
+    candidates = firsts.select("msg_id", start_of.alias("start"), F.lit(None).cast("long").alias("update"))
+    updates = opened.where(F.col("kind") == RAFT_UPDATE).groupBy("msg_id").agg(F.max("pos").alias("update"))
+    per_message = (
+        candidates.unionByName(updates.select("msg_id", F.lit(None).cast("struct<start:bigint,until:bigint>").alias("start"), "update"))
+        .groupBy("msg_id")
+        .agg(F.array_sort(F.collect_list("start")).alias("starts"), F.max("update").alias("update"))
     )
     none = F.array().cast("array<struct<start:bigint,until:bigint>>")
     lives = F.aggregate(
