@@ -96,7 +96,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame, removed: DataFrame, b
         .select(F.shiftleft("word", 6).bitwiseOR(F.col("at_bit").cast("long")).alias("code"), "day")
     )
     entries = dictionary.select("code", "key", "since", "gone", "parent", F.inline("refs"))
-    decoded = entries.join(survivors, ["code", "day"]).select("key", "day", "since", F.col("gone").alias("removed_at"), "parent", "n")
+    # by shuffle: the planner takes the survivors for as few as the words they were exploded from
+    decoded = entries.join(survivors.hint("merge"), ["code", "day"]).select("key", "day", "since", F.col("gone").alias("removed_at"), "parent", "n")
     total = refs.count()
     found = join_counted(refs.withColumn("day", day), decoded, ["key", "day"], "n", total)
     kind = (
