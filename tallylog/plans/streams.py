@@ -43,7 +43,7 @@ def stream_dedup(spark, d):
     """Identifiers as the keyed store lets them through, each once."""
     rows = jobs.arriving(spark, d, "messages").where(F.col("topic").isNotNull() & F.col("timestamp_ns").isNotNull() & F.col("received_at").isNotNull())
     ids = rows.select(canonical_id("id").alias("msg_id"), "received_at").where(F.col("msg_id").isNotNull())
-    return _drained(spark, first_sightings(ids, "msg_id", "received_at", "3650 days").select("msg_id"), "ids", "msg_id string")
+    return _drained(spark, first_sightings(ids, ["msg_id"], "received_at", "3650 days").select("msg_id"), "ids", "msg_id string")
 
 
 _OPS = {"signup": "publish", "purchase": "ack", "error": "nack"}

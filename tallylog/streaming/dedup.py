@@ -18,13 +18,17 @@ from pyspark.sql import functions as F
 
 from tallylog.functions.ids import canonical_id
 from tallylog.operators.joins import join_counted
-from tallylog.session import fresh_dir, remove_dir
+from tallylog.session import fresh_dir, parallelism, remove_dir
 
 #: How long an identifier is kept in the store after its event time.
 WATERMARK = "1 day"
 #: Input of one micro-batch; a documented parameter of throughput, not of results.
 BYTES_PER_BATCH = 64 << 30
 
+#: Rows looked at to find identifiers that hold more than one task's share. This
+#: bound only affects balance, never results.
+BUSY_SAMPLE = 200_000
+
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -32,9 +36,16 @@ _STORE = {
 }
 
 
-def first_sightings(arrivals: DataFrame, key: str, event_time: str, watermark: str = WATERMARK) -> DataFrame:
-    """A stream's rows without those whose key is in the store of keys seen within the watermark."""
-    return arrivals.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([key])
+def first_sightings(arrivals: DataFrame, keys: list[str], event_time: str, watermark: str = WATERMARK) -> DataFrame:
+    """A stream's rows without those whose keys are in the store of keys seen within the watermark."""
+    return arrivals.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(keys)
+
+
+def busy_keys(rows: DataFrame, key: str, total: int, tasks: int) -> list[str]:
+    """Keys that hold over a quarter of one task's share in a sample; they can't be more than 4 x tasks."""
+    share = min(1.0, BUSY_SAMPLE / max(1, total))
+    counts = rows.select(key).sample(share, seed=11).groupBy(key).count()
+    return sorted(r[0] for r in counts.where(F.col("count") > max(10, total * share / (4 * tasks))).collect())
 
 
 def run_to_end(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", each=None) -> None:
@@ -77,8 +88,9 @@ def superfluous_copies(
     Ids compare as canonical_id gives them; rows without one are neither kept
     nor superfluous. Rows with a null received_at come behind any watermark and
     are found by the lookup. Equal copies differ by row_id. An empty folder gives
-    no rows. One id may hold any share of the rows: all grouping combines
-    before its shuffle, and join_counted takes the busy ids.
+    no rows. One id may hold any share of the rows: the store keeps a busy id in as
+    many lanes as there are tasks, each of which lets a sighting through, for the
+    lookup to settle; all other grouping combines before its shuffle.
     """
     schema = spark.read.parquet(path).schema
     folder, name = stream_place(spark, path)
@@ -93,12 +105,17 @@ def superfluous_copies(
     pick = lambda df: df.select(
         canonical_id("id").alias("msg_id"), "row_id", "received_at", "delivery_count", "retry"
     ).where(F.col("msg_id").isNotNull() & F.col("row_id").isNotNull())
-    stream = first_sightings(pick(source.parquet(folder)).where(F.col("received_at").isNotNull()), "msg_id", "received_at", watermark)
+    arrived = pick(spark.read.parquet(path))
+    total, tasks = spark.read.parquet(path).count(), parallelism(spark)
+    busy = busy_keys(arrived, "msg_id", total, tasks)
+    lane = F.when(F.col("msg_id").isin(busy), F.pmod("row_id", F.lit(tasks))).otherwise(F.lit(0)).alias("lane")
+    timed = pick(source.parquet(folder)).where(F.col("received_at").isNotNull()).select("*", lane)
+    stream = first_sightings(timed, ["msg_id", "lane"], "received_at", watermark)
     run_to_end(stream.select("msg_id", "row_id", "delivery_count", "retry"), f"{work}/seen", f"{work}/checkpoint")
     remove_dir(spark, f"{work}/checkpoint")
     copy = lambda df: df.select("msg_id", "row_id", rank_of().alias("rank"))
     seen = spark.read.schema("msg_id string, row_id bigint, delivery_count int, retry int").parquet(f"{work}/seen")
-    held = pick(spark.read.parquet(path)).join(seen.select("row_id"), "row_id", "left_anti")
+    held = arrived.join(seen.select("row_id"), "row_id", "left_anti")
     sighted = copy(seen).groupBy("msg_id").agg(F.max("rank").alias("best"), F.count("*").alias("n"))
     repeated = copy(held).groupBy("msg_id").agg(F.max("rank").alias("best2"), F.count("*").alias("n2"))
     contested = (
@@ -107,6 +124,5 @@ def superfluous_copies(
         .where(F.col("copies") > 1)
         .select("msg_id", F.greatest("best", "best2").alias("best"), "copies")
     )
-    total = spark.read.parquet(path).count()
     rows = copy(seen).unionByName(copy(held))
     return join_counted(rows, contested, ["msg_id"], "copies", total).where(F.col("rank") != F.col("best")).select("msg_id", "row_id")
