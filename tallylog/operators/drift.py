@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tallylog.functions.ids import canonical_id
 from tallylog.functions.payloads import clean, fields, fingerprint, kind_of, plain, read_object
+from tallylog.operators.joins import join_counted
 from tallylog.session import materialized, ship
 
 #: A file has a field when at least 1 / SHARE of its readable rows hold it.
@@ -35,7 +36,8 @@ def _count_fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         counts: Counter = Counter()
         for producer, number, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
             record = read_object(payload)
-            counts[producer, number, None, None] += record is not None
+            counts[producer, number, None, "rows"] += 1
+            counts[producer, number, None, "readable"] += record is not None
             if record:
                 for key in {(clean(path), kind_of(value)) for path, value in fields(record)}:
                     counts[producer, number, *key] += 1
@@ -46,8 +48,8 @@ def _count_fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def catalogue(files: DataFrame) -> DataFrame:
     """(producer, file_no, field, kind, n): how many readable rows of a file hold a field with a value of a kind.
 
-    Rows with a null field give the file's readable rows, 0 included. Counts are
-    combined in each Arrow batch and before the shuffle. Rows without producer or
+    Rows with a null field give the file's 'rows' and 'readable' rows, 0 included.
+    Counts are combined in each Arrow batch and before the shuffle. Rows without producer or
     file_no belong to no file and are left out.
     """
     ship(files.sparkSession)
@@ -57,13 +59,14 @@ def catalogue(files: DataFrame) -> DataFrame:
 
 
 def file_order(seen: DataFrame) -> DataFrame:
-    """(producer, file_no, readable, seq, files, before): files numbered from 1 within their producer."""
+    """(producer, file_no, rows, readable, seq, files): files numbered from 1 within their producer."""
     per = Window.partitionBy("producer")
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n"))).alias(kind)
     return (
         seen.where(F.col("field").isNull())
-        .select("producer", "file_no", F.col("n").alias("readable"))
+        .groupBy("producer", "file_no")
+        .agg(of("rows"), of("readable"))
         .withColumn("seq", F.row_number().over(per.orderBy("file_no")))
-        .withColumn("before", F.lag("file_no").over(per.orderBy("file_no")))
         .withColumn("files", F.count("*").over(per))
     )
 
@@ -120,7 +123,8 @@ def _pick_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def renames(files: DataFrame, bounds: DataFrame, order: DataFrame, witnesses: int = WITNESSES) -> DataFrame:
     """(producer, seq, old, new): fields that ended and started at the same file, of one type, that the same messages carry with equal values.
 
-    Only the fields at issue are read from only the files at issue. Per message
+    Only the fields at issue are read from only the files at issue; a file of any
+    size is read where its rows lie (see join_counted). Per message
     the values are a set bounded by the width of its schema; evidence is combined
     per pair of fields before the shuffle.
     """
@@ -133,13 +137,13 @@ def renames(files: DataFrame, bounds: DataFrame, order: DataFrame, witnesses: in
         .unionByName(come.join(gone.select(*match), match, "left_semi").select("producer", "seq", "field", "kind", F.lit(1).cast("tinyint").alias("side"), F.col("seq").alias("at")))
     )
     wanted = (
-        sides.join(order.select("producer", "file_no", F.col("seq").alias("at")), ["producer", "at"])
-        .groupBy("producer", "file_no")
+        sides.join(order.select("producer", "file_no", "rows", F.col("seq").alias("at")), ["producer", "at"])
+        .groupBy("producer", "file_no", "rows")
         .agg(F.collect_list(F.struct("seq", "side", "field", "kind")).alias("wanted"))
     )
     rows = files.select("producer", F.col("file_no").cast("int").alias("file_no"), canonical_id("id").alias("id"), "payload").where(F.col("id").isNotNull())
     values = (
-        rows.join(wanted, ["producer", "file_no"])
+        join_counted(rows, wanted, ["producer", "file_no"], "rows", files.count())
         .select("producer", "id", "payload", "wanted")
         .mapInArrow(_pick_values, "producer string, seq int, id string, side tinyint, field string, kind string, value binary")
     )
@@ -279,13 +283,13 @@ def consistent_table(files: DataFrame) -> DataFrame:
     names = alias_table(spans, renamed)
     wanted = (
         names.select("producer", "field", "column", "kind", F.explode(F.sequence("first_seq", "last_seq")).alias("seq"))
-        .join(order.select("producer", "seq", "file_no"), ["producer", "seq"])
-        .groupBy("producer", "file_no")
+        .join(order.select("producer", "seq", "file_no", "rows"), ["producer", "seq"])
+        .groupBy("producer", "file_no", "rows")
         .agg(F.collect_list(F.struct("field", "column", "kind")).alias("wanted"))
     )
     rows = files.select("rec_id", "producer", F.col("file_no").cast("int").alias("file_no"), "payload")
     return (
-        rows.join(wanted, ["producer", "file_no"])
+        join_counted(rows, wanted, ["producer", "file_no"], "rows", files.count())
         .select("rec_id", "producer", "file_no", "payload", "wanted")
         .mapInArrow(_cells, "rec_id long, producer string, file_no int, column string, kind string, value string")
     )
