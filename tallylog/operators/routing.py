@@ -3,13 +3,16 @@
 Messages carry exchange, routing_key and headers; bindings are rows (exchange,
 queue, binding_key, headers, match_all). A queue bound several times gets one
 copy. Bindings are few as a rule: up to INLINE of them are compiled into one
-expression, evaluated where the message lies, without join or shuffle. More are
-joined by their keys.
+expression, evaluated where the message lies, without join or shuffle. With more,
+each distinct routing key (or set of headers) is routed once, by equality or in
+blocks of INLINE bindings, and leads back to its messages.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,15 +30,6 @@ def topic_regex(pattern: str) -> str:
     return "^" + "".join(one if s == "*" else many if s == "#" else r"\." + re.escape(s) for s in pattern.split(".")) + "$"
 
 
-def topic_regex_of(pattern: Column) -> Column:
-    """topic_regex as an expression."""
-    parts = F.transform(
-        F.split(pattern, r"\.", -1),
-        lambda s: F.when(s == "*", F.lit(r"\.[^.]*")).when(s == "#", F.lit(r"(\.[^.]*)*")).otherwise(F.concat(F.lit(r"\.\Q"), s, F.lit(r"\E"))),
-    )
-    return F.concat(F.lit("^"), F.array_join(parts, ""), F.lit("$"))
-
-
 def topic_matches(key: Column, pattern: str) -> Column:
     """Whether a routing key matches a pattern; patterns without wildcards compare, '#' is always true."""
     if pattern == "#":
@@ -73,6 +67,13 @@ def _inline(messages: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFr
     return messages.withColumn("queue", F.explode(F.array_distinct(F.array_compact(F.array(*hits)))))
 
 
+def _blocks(bindings: DataFrame) -> Iterator[list]:
+    """Bindings in blocks of at most INLINE (at least 1)."""
+    rows = bindings.toLocalIterator()
+    while block := list(islice(rows, max(1, INLINE))):
+        yield block
+
+
 def route(messages: DataFrame, bindings: DataFrame, kind: str) -> DataFrame:
     """messages with column `queue`, one row per queue that a binding of the message's exchange selects.
 
@@ -80,37 +81,37 @@ def route(messages: DataFrame, bindings: DataFrame, kind: str) -> DataFrame:
     'headers'. A null exchange or routing key matches nothing, except that fan-out
     and headers don't look at the key. Messages without a match don't come out.
     """
+    tests = {
+        "direct": lambda b: F.col("routing_key") == b["binding_key"],
+        "fanout": lambda b: F.lit(True),
+        "topic": lambda b: topic_matches(F.col("routing_key"), b["binding_key"]),
+        "headers": lambda b: headers_match(F.col("headers"), dict(b["headers"] or {}), bool(b["match_all"])),
+    }
     few = bindings.limit(INLINE + 1).collect()
     if len(few) <= INLINE:
-        key = F.col("routing_key")
-        tests = {
-            "direct": lambda b: key == b["binding_key"],
-            "fanout": lambda b: F.lit(True),
-            "topic": lambda b: topic_matches(key, b["binding_key"]),
-            "headers": lambda b: headers_match(F.col("headers"), dict(b["headers"] or {}), bool(b["match_all"])),
-        }
         return _inline(messages, [(b["exchange"], b["queue"], tests[kind](b)) for b in few])
-    if kind == "direct":
-        by_key = bindings.select("exchange", F.col("binding_key").alias("routing_key"), "queue").distinct()
-        return messages.join(by_key, ["exchange", "routing_key"])
+    # many bindings: find the queues of each distinct key once, then let the keys lead back to the messages
     if kind == "fanout":
-        queues = bindings.groupBy("exchange").agg(F.collect_set("queue").alias("queues"))
-        return messages.join(queues, ["exchange"]).withColumn("queue", F.explode("queues")).drop("queues")
-    if kind == "topic":
-        # patterns are tried once per distinct key, then keys lead back to the messages
-        keys = messages.groupBy("exchange", "routing_key").agg(F.count("*").alias("copies"))
-        test = F.concat(F.lit("."), F.col("routing_key")).rlike(topic_regex_of(F.col("binding_key")))
-        found = keys.join(bindings.select("exchange", "binding_key", "queue"), ["exchange"]).where(test)
-        queues = found.groupBy("exchange", "routing_key", "copies").agg(F.collect_set("queue").alias("queues"))
-        total = messages.count()
-        return join_counted(messages, queues, ["exchange", "routing_key"], "copies", total).withColumn("queue", F.explode("queues")).drop("queues")
-    wanted = bindings.select("exchange", "queue", F.map_entries("headers").alias("wanted"), "match_all")
-    value = lambda e: F.coalesce(F.try_element_at("headers", e["key"]), F.lit("")) == e["value"]
-    test = (F.size("wanted") <= 0) | F.when(F.col("match_all"), F.forall("wanted", value)).otherwise(F.exists("wanted", value))
-    distinct = messages.groupBy("exchange", F.to_json("headers").alias("h")).agg(F.first("headers").alias("headers"), F.count("*").alias("copies"))
-    found = distinct.join(wanted, ["exchange"]).where(test).groupBy("exchange", "h", "copies").agg(F.collect_set("queue").alias("queues"))
-    rows = messages.withColumn("h", F.to_json("headers"))
-    return join_counted(rows, found, ["exchange", "h"], "copies", messages.count()).withColumn("queue", F.explode("queues")).drop("queues", "h")
+        key, rows = ["exchange"], messages
+    elif kind == "headers":
+        key, rows = ["exchange", "__headers"], messages.withColumn("__headers", F.coalesce(F.to_json("headers"), F.lit("")))
+    else:
+        key, rows = ["exchange", "routing_key"], messages
+    copies = F.count("*").alias("__copies")
+    keys = rows.groupBy(*key).agg(copies, F.first("headers").alias("headers")) if kind == "headers" else rows.groupBy(*key).agg(copies)
+    if kind in ("direct", "fanout"):
+        named = bindings.withColumnRenamed("binding_key", "routing_key")
+        hits = keys.join(named.select(*key, "queue"), key)
+    else:
+        hits = None
+        for block in _blocks(bindings):
+            part = _inline(keys, [(b["exchange"], b["queue"], tests[kind](b)) for b in block])
+            hits = part if hits is None else hits.unionByName(part)
+        if hits is None:
+            return messages.limit(0).withColumn("queue", F.lit(""))
+    queues = hits.groupBy(*key, "__copies").agg(F.collect_set("queue").alias("__queues"))
+    found = join_counted(rows, queues, key, "__copies", messages.count())
+    return found.select(*[F.col(c) for c in messages.columns], F.explode("__queues").alias("queue"))
 
 
 def route_default(messages: DataFrame) -> DataFrame:
