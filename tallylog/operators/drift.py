@@ -71,13 +71,12 @@ def file_order(seen: DataFrame) -> DataFrame:
     )
 
 
-def lifespans(seen: DataFrame, share: int = SHARE) -> DataFrame:
+def lifespans(seen: DataFrame, order: DataFrame, share: int = SHARE) -> DataFrame:
     """(producer, field, kind, first_seq, last_seq, files): the runs of files that have a field with one type.
 
     A field's type in a file is that of most of its values; of equally frequent
     types the alphabetically last.
     """
-    order = file_order(seen)
     has = (
         seen.where(F.col("field").isNotNull())
         .groupBy("producer", "file_no", "field")
@@ -136,10 +135,11 @@ def renames(files: DataFrame, bounds: DataFrame, order: DataFrame, witnesses: in
         gone.join(come.select(*match), match, "left_semi").select("producer", "seq", "field", "kind", F.lit(0).cast("tinyint").alias("side"), (F.col("seq") - 1).alias("at"))
         .unionByName(come.join(gone.select(*match), match, "left_semi").select("producer", "seq", "field", "kind", F.lit(1).cast("tinyint").alias("side"), F.col("seq").alias("at")))
     )
-    wanted = (
+    wanted = materialized(
         sides.join(order.select("producer", "file_no", "rows", F.col("seq").alias("at")), ["producer", "at"])
         .groupBy("producer", "file_no", "rows")
-        .agg(F.collect_list(F.struct("seq", "side", "field", "kind")).alias("wanted"))
+        .agg(F.collect_list(F.struct("seq", "side", "field", "kind")).alias("wanted")),
+        "wanted",
     )
     rows = files.select("producer", F.col("file_no").cast("int").alias("file_no"), canonical_id("id").alias("id"), "payload").where(F.col("id").isNotNull())
     values = (
@@ -166,9 +166,10 @@ def renames(files: DataFrame, bounds: DataFrame, order: DataFrame, witnesses: in
 
 def _changes(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     seen = materialized(catalogue(files), "catalogue")
-    order = file_order(seen)
-    spans = lifespans(seen)
-    bounds = boundaries(spans)
+    # small tables that several branches read: written once, so no branch plans or runs their making again
+    order = materialized(file_order(seen), "files")
+    spans = materialized(lifespans(seen, order), "lifespans")
+    bounds = materialized(boundaries(spans), "boundaries")
     renamed = materialized(renames(files, bounds, order), "renames")
     return order, spans, bounds, renamed
 
@@ -281,11 +282,12 @@ def consistent_table(files: DataFrame) -> DataFrame:
     """
     order, spans, _, renamed = _changes(files)
     names = alias_table(spans, renamed)
-    wanted = (
+    wanted = materialized(
         names.select("producer", "field", "column", "kind", F.explode(F.sequence("first_seq", "last_seq")).alias("seq"))
         .join(order.select("producer", "seq", "file_no", "rows"), ["producer", "seq"])
         .groupBy("producer", "file_no", "rows")
-        .agg(F.collect_list(F.struct("field", "column", "kind")).alias("wanted"))
+        .agg(F.collect_list(F.struct("field", "column", "kind")).alias("wanted")),
+        "wanted",
     )
     rows = files.select("rec_id", "producer", F.col("file_no").cast("int").alias("file_no"), "payload")
     return (
