@@ -141,6 +141,28 @@ def test_shared_spans_production_lengths(spark):
     assert spans.shared_spans(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_a_run_that_one_document_holds_twice(spark):
+    """Only part of a repeated run is shared: both its places count."""
+    rng = random.Random(11)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    for trial in range(6):
+        core, own = make(230), make(120)
+        twice = own + core + own[::-1]
+        docs = [(1, make(50) + twice + make(400) + twice + make(60)), (2, make(300) + core + make(300)), (3, make(90) + core[10:220] + make(40))]
+        got = rows(spans.shared_spans(spark.createDataFrame(docs, DOCS), gram=(100, 60, 130)[trial % 3]))
+        assert got == brute_spans(docs, 200)
+
+
+def test_hashing_in_chunks_changes_nothing(monkeypatch):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab\U0001f469 ") for _ in range(rng.choice([0, 5, 20, 21, 90, 300]))) for _ in range(60)]
+    whole = [x.tolist() for x in spans.runs(texts, 20, 10)]
+    alone = [[i, *r] for i, t in enumerate(texts) for r in zip(*(x.tolist() for x in spans.runs([t], 20, 10)[1:]))]
+    assert [list(r) for r in zip(*whole)] == alone
+    monkeypatch.setattr(spans, "CHUNK", 100)
+    assert [b for a, b in spans._chunks([len(t) for t in texts])][-1] == 60
+
+
 def test_rest_of_the_library_does_without():
     root = common.Path(__file__).resolve().parents[2] / "tallylog"
     for p in root.rglob("*.py"):
