@@ -55,6 +55,6 @@ def increments(ops: DataFrame) -> DataFrame:
 
 
 def evicted(live: DataFrame, most: int) -> DataFrame:
-    """Entries beyond the `most` newest: the oldest go first (the reference drops any)."""
+    """Entries beyond the `most` newest: the oldest go first."""
     keep = live.orderBy(F.desc("created_ns"), "key").limit(most).select("key")
     return live.join(F.broadcast(keep), "key", "left_anti")
