@@ -21,8 +21,17 @@ from tallylog.session import parallelism
 _NO_DAY = -2147483648
 
 
+_DAY = 86_400_000_000
+
+
+def utc_day(at: Column) -> Column:
+    """Days since 1970-01-01 in UTC, whatever the session's time zone."""
+    us = F.unix_micros(at)
+    return F.call_function("div", us - F.pmod(us, F.lit(_DAY)), F.lit(_DAY)).cast("int")
+
+
 def _day(col: Column) -> Column:
-    return F.coalesce(F.unix_date(col.cast("date")), F.lit(_NO_DAY))
+    return F.coalesce(utc_day(col), F.lit(_NO_DAY))
 
 
 def orphan_references(refs: DataFrame, parents: DataFrame, removed: DataFrame, blocks: int | None = None) -> DataFrame:
@@ -134,4 +143,4 @@ def message_orphans(wal: DataFrame, raft: DataFrame, messages: DataFrame, expire
         messages.select(canonical_id("id").alias("key"), F.col("received_at").alias("since")),
         expired.select(canonical_id("id").alias("key"), F.col("removed_at").alias("since")),
     )
-    return found.select("src_table", F.date_format("at", "yyyy-MM-dd").alias("ref_day"), "row_no", "orphan_kind")
+    return found.select("src_table", F.date_from_unix_date(utc_day(F.col("at"))).cast("string").alias("ref_day"), "row_no", "orphan_kind")
