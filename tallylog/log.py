@@ -7,6 +7,8 @@ subscriptions are folds of the table. Times are nanoseconds and always given.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +91,17 @@ class MessageLog:
         batch = self.commands().agg(F.max("batch")).first()[0]
         return self.commands().where((F.col("batch") == batch) & (F.col("op") == "deliver")).select("queue", "msg_id", "payload", "priority")
 
+    def process(self, handle: Callable[[DataFrame], None], n: int, at_ns: int, queue: str | None = None) -> bool:
+        """Deliver, hand the messages to `handle`, and acknowledge them; reject them all if it raises. Whether it went well."""
+        sent = self.consume(n, at_ns, queue)
+        try:
+            handle(sent)
+        except Exception:
+            self.nack(sent.select("msg_id"), at_ns)
+            return False
+        self.ack(sent.select("msg_id"), at_ns)
+        return True
+
     def ack(self, ids: DataFrame, at_ns: int) -> None:
         self._append("ack", at_ns, _valid(ids, "msg_id"))
 

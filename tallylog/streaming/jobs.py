@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tallylog.operators.routing import route
 from tallylog.sources.tables import table_path
@@ -28,6 +28,11 @@ def arriving(spark: SparkSession, folder: str, name: str, files_per_batch: int |
     return source.option("pathGlobFilter", file or "*").parquet(place)
 
 
+def keep_running(stream: DataFrame, out: str, checkpoint: str, every: str = "1 second", mode: str = "append") -> StreamingQuery:
+    """Start a stream that looks for new input once per tick; started again with the same folders it goes on where it stopped."""
+    return stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(processingTime=every).start()
+
+
 def rates(stream: DataFrame, at: str, kind: str, every: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """(start, kind, n) per window, once the watermark has passed its end."""
     return (

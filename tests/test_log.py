@@ -77,3 +77,12 @@ def test_exchanges_and_topics(spark, log):
     assert rows(log.inbox().select("subscriber", "msg_id")) == [("s1", "n1"), ("s1", "n2"), ("s2", "n2")]
     log.unsubscribe("news", "s1", 11)
     assert rows(log.inbox().select("subscriber", "msg_id")) == [("s2", "n2")]
+
+
+def test_handlers_answer_for_their_batch(spark, log):
+    log.publish(ids(spark, "a", "b").withColumn("queue", F.lit("q")), S)
+    seen = []
+    assert log.process(lambda df: seen.extend(r["msg_id"] for r in df.collect()), 1, 2 * S)
+    assert not log.process(lambda df: 1 / 0, 5, 3 * S)
+    assert len(seen) == 1 and sorted(states(log, 4 * S).values()) == ["acked", "ready"]
+    assert log.states(4 * S).agg(F.sum("retry")).first()[0] == 1
