@@ -14,7 +14,8 @@ of tokens, so the work is linear in the text.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -32,7 +33,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Encoded pieces remembered by a worker, and the longest piece remembered.
-CACHE_PIECES, CACHE_BYTES = 200_000, 64
+CACHE_PIECES, CACHE_CHARS = 200_000, 64
+#: Longer texts are split piece by piece, not into one list.
+LONG_TEXT = 1_000_000
 
 
 def read_ranks(data: bytes) -> list[bytes]:
@@ -42,6 +45,22 @@ def read_ranks(data: bytes) -> list[bytes]:
     return [ranks[i] for i in range(len(ranks))]
 
 
+class _Pieces(dict):
+    """Ids by piece of text; short pieces are remembered, up to CACHE_PIECES of them."""
+
+    def __init__(self, encode: Callable[[bytes], tuple[int, ...]]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        found = self.encode(piece.encode("utf-8"))
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class Encoder:
     """Encodes bytes with one vocabulary, whose ids are the order of its merges."""
 
@@ -55,7 +74,7 @@ class Encoder:
         self.automaton.make_automaton()
         self.shorter = [self._prefix(t) for t in tokens]
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[bytes, tuple[int, ...]] = {}
+        self.pieces = _Pieces(self.piece)
 
     def _prefix(self, token: bytes) -> int:
         """The longest token that is a proper prefix, or -1."""
@@ -90,14 +109,7 @@ class Encoder:
         whole = self.ids.get(data)
         if whole is not None and self.merged_whole(data, whole):
             return (whole,)
-        if len(data) > CACHE_BYTES:
-            return tuple(self._walk(data))
-        known = self.pieces.get(data)
-        if known is None:
-            if len(self.pieces) >= CACHE_PIECES:
-                self.pieces.clear()
-            known = self.pieces[data] = tuple(self._walk(data))
-        return known
+        return tuple(self._walk(data))
 
     def merged_whole(self, data: bytes, whole: int) -> bool:
         """Whether a piece that spells a token is merged into it (it is, unless the merges can't reach it)."""
@@ -130,22 +142,18 @@ class Encoder:
                 token = longest[at] if at < size else -1
             else:
                 dead[at] = 1
-                token = out.pop()
+                token = out.pop()  # tried again from its start: its own end is a dead end now
                 at -= length[token]
-                token = token  # tried again from here: its own end is a dead end now
         return out
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text; nothing in it is special."""
-        out: list[int] = []
-        piece, known = self.piece, self.pieces.get
-        for m in _split(text):
-            data = m.group().encode("utf-8")
-            out.extend(known(data) or piece(data))
-        return out
+        if len(text) <= LONG_TEXT:
+            return list(chain.from_iterable(map(self.pieces.__getitem__, _split.findall(text))))
+        return list(chain.from_iterable(self.pieces[m.group()] for m in _split.finditer(text)))
 
 
-_split = regex.compile(PATTERN).finditer
+_split = regex.compile(PATTERN)
 _encoders: dict[bytes, Encoder] = {}
 
 
