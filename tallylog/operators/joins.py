@@ -20,9 +20,10 @@ def join_counted(rows: DataFrame, unique: DataFrame, keys: list[str], count: str
     `count` isn't in the result. Null keys never match.
     """
     limit = max(1, total // HEAVY_KEYS)
-    heavy = unique.where(F.col(count) > limit).drop(count)
+    others = [c for c in unique.columns if c not in (*keys, count)]
+    heavy = unique.where(F.col(count) > limit).select(*keys, F.struct(F.lit(True).alias("__found"), *others).alias("__heavy"))
     light = unique.where(F.col(count) <= limit).drop(count)
-    marked = rows.join(F.broadcast(heavy.select(*keys, F.lit(True).alias("__heavy"))), keys, "left")
-    a = marked.where(F.col("__heavy")).drop("__heavy").join(F.broadcast(heavy), keys)
+    marked = rows.join(F.broadcast(heavy), keys, "left")
+    a = marked.where(F.col("__heavy").isNotNull()).select(*keys, *[c for c in rows.columns if c not in keys], *[F.col(f"__heavy.`{c}`").alias(c) for c in others])
     b = marked.where(F.col("__heavy").isNull()).drop("__heavy").join(light, keys)
     return a.unionByName(b)
