@@ -41,7 +41,7 @@ def apply_changes(base: DataFrame, changes: DataFrame, feed: str, key: str, pos:
     changes: kind = put inserts or replaces key at pos, kind = remove removes it,
     any other kind changes nothing. Changes with a null feed, key or pos change
     nothing. The same (feed, pos) is one change however often it comes; were its
-    copies to differ, the smallest (kind, key) counts. A key may hold any share
+    copies to differ, the smallest (kind, key) counts. Positions lie below 2^62. A key may hold any share
     of all changes (see running_before). Other columns are ignored.
     """
     one = (
@@ -54,20 +54,12 @@ def apply_changes(base: DataFrame, changes: DataFrame, feed: str, key: str, pos:
     )
     start = base.select(F.col(feed).alias("feed"), F.col(pos).cast("long").alias("pos"), F.col(key).alias("key"), F.lit(True).alias("puts"))
     log = materialized(one.unionByName(start), "changes")  # read several times below
-    before = running_before(log, ["feed", "key"], "pos", F.struct("pos", "puts"), "prev")
-    images = before.select(
-        "feed",
-        "key",
-        F.inline(
-            F.filter(
-                F.array(
-                    F.when(F.col("puts"), F.struct(F.col("pos").alias("pos"), F.lit(1).alias("sign"))),
-                    F.when(F.col("prev.puts"), F.struct(F.col("prev.pos").alias("pos"), F.lit(-1).alias("sign"))),
-                ),
-                lambda x: x.isNotNull(),
-            )
-        ),
-    )
+    # the change before, as one number: its position and, in the lowest bit, whether it puts
+    code = F.col("pos") * 2 + F.col("puts").cast("long")
+    before = running_before(log, ["feed", "key"], "pos", code, "prev")
+    after_image = F.when(F.col("puts"), F.col("pos"))
+    before_image = F.when(F.col("prev").bitwiseAND(F.lit(1)) == 1, F.shiftright("prev", 1))
+    images = before.select("feed", "key", F.stack(F.lit(2), after_image, F.lit(1), before_image, F.lit(-1)).alias("pos", "sign")).where(F.col("pos").isNotNull())
     return sum_images(images, ["feed", "key", "pos"]).select(F.col("feed").alias(feed), F.col("key").alias(key), F.col("pos").alias(pos))
 
 
@@ -132,8 +124,9 @@ def raft_live(raft: DataFrame) -> DataFrame:
     puts = opened.where(F.col("kind") == RAFT_PUBLISH)
     ends = puts.where(F.col("until") < _FOREVER).select("msg_id", F.col("until").alias("pos")).distinct()
     steps = puts.unionByName(ends.select("msg_id", "pos", F.lit(_PURGED).alias("kind"), F.lit(_FOREVER).alias("until")))
-    seen = running_before(steps, ["msg_id"], "pos", F.struct("pos", "kind"), "prev")
-    firsts = seen.where((F.col("kind") == RAFT_PUBLISH) & (F.col("prev").isNull() | (F.col("prev.kind") == _PURGED)))
+    code = F.col("pos") * 2 + (F.col("kind") == _PURGED).cast("long")
+    seen = running_before(steps, ["msg_id"], "pos", code, "prev")
+    firsts = seen.where((F.col("kind") == RAFT_PUBLISH) & (F.col("prev").isNull() | (F.col("prev").bitwiseAND(F.lit(1)) == 1)))
     start_of = F.struct(F.col("pos").alias("start"), "until")
     candidates = firsts.select("msg_id", start_of.alias("start"), F.lit(None).cast("long").alias("update"))
     updates = opened.where(F.col("kind") == RAFT_UPDATE).groupBy("msg_id").agg(F.max("pos").alias("update"))

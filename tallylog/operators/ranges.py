@@ -101,7 +101,8 @@ def running(df: DataFrame, keys: list[str], order: str, values: dict[str, tuple[
     kinds = dict(df.dtypes)
     owners = spark.createDataFrame(sorted({b[:-1] for b in bounds}), ",".join(f"`{k}` {kinds[k]}" for k in keys))
     state = (
-        cut.join(F.broadcast(owners), keys, "left_semi")
+        df.join(F.broadcast(owners), keys, "left_semi")
+        .withColumn(_RANGE, range_of(df, keys, order, bounds))
         .groupBy(*keys, _RANGE)
         .agg(*[_STEP[op](value).alias(_TOP + name) for name, (op, value) in values.items()])
     )
