@@ -235,7 +235,10 @@ def alias_table(spans: DataFrame, renamed: DataFrame) -> DataFrame:
     return chain.select("producer", "field", "first_seq", "last_seq", F.coalesce("next_field", "field").alias("column"), F.coalesce("next_kind", "kind").alias("kind"))
 
 
-_CELLS = pa.schema([("rec_id", pa.int64()), ("producer", pa.string()), ("file_no", pa.int32()), ("column", pa.string()), ("kind", pa.string()), ("value", pa.string())])
+_CELLS = pa.schema(
+    [("rec_id", pa.int64()), ("producer", pa.string()), ("file_no", pa.int32())]
+    + [(c, pa.string()) for c in ("column", "kind", "value", "field", "original", "note")]
+)
 
 
 def _cast(value: object, kind: str) -> str | None:
@@ -263,35 +266,66 @@ def _cast(value: object, kind: str) -> str | None:
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[] for _ in _CELLS]
-        for rec, producer, number, payload, wanted in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        plans: dict[tuple, dict] = {}
+        for i, (rec, producer, number, payload) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
+            file = (producer, number)
+            if file not in plans:
+                # the rows of a file have one plan
+                plans[file] = {w["field"]: (w["column"], w["kind"], w["note"]) for w in batch.column(4)[i].as_py()}
+            plan, stray = plans[file], "no_file" if None in file else "below_share"
             record = read_object(payload)
-            values = {clean(path): value for path, value in fields(record)} if record else {}
-            for w in wanted:
-                if w["field"] in values and (cell := _cast(values[w["field"]], w["kind"])) is not None:
-                    for column, x in zip(out, (rec, producer, number, w["column"], w["kind"], clean(cell))):
-                        column.append(x)
+            cells = []
+            for path, value in fields(record or {}):
+                field = clean(path)
+                column, kind, note = plan.get(field) or (field, kind_of(value), stray)
+                cell, original = _cast(value, kind), None
+                if cell is None:
+                    original, note = clean(plain(value)), note or "uncast"
+                cells.append((column, kind, None if cell is None else clean(cell), field, original, note))
+            for cell in cells or [(None, None, None, None, payload, "unreadable" if record is None else "no_values")]:
+                for column, x in zip(out, (rec, producer, number, *cell)):
+                    column.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _CELLS.types)], schema=_CELLS)
 
 
-def consistent_table(files: DataFrame) -> DataFrame:
-    """(rec_id, producer, file_no, column, kind, value): every file's fields under their last names, cast to their last types.
+def whole_table(files: DataFrame) -> DataFrame:
+    """(rec_id, producer, file_no, column, kind, value, field, original, note): every file's values under their last names, cast to their last types.
+
+    One row per value other than null, since producers' schemas differ; value is
+    text in the column's type, field the path in the file. Nothing is left out:
 
-    One row per value, since producers' schemas differ; value is text in the
-    column's type. Values that the type can't hold are left out, as are fields
-    that a file holds in fewer than the required rows.
+    - A value that the type can't hold has a null value and its text as
+      `original`, and the note 'uncast' if it has no other.
+    - A field that a file holds in fewer than the required rows has the note
+      'below_share', its own name and each value's own type.
+    - Rows without producer or file_no belong to no file; their values have the
+      note 'no_file', their own names and types.
+    - A row without any value comes out once, with null column and its payload as
+      `original`; its note is 'unreadable' or, for an object without values,
+      'no_values'.
+
+    All other rows have a null note. Of a name that stands twice in one JSON object
+    the last value counts.
     """
     order, spans, _, renamed = _changes(files)
     names = alias_table(spans, renamed)
+    planned = names.select("producer", "field", "column", "kind", F.lit(None).cast("string").alias("note"), F.explode(F.sequence("first_seq", "last_seq")).alias("seq"))
     wanted = materialized(
-        names.select("producer", "field", "column", "kind", F.explode(F.sequence("first_seq", "last_seq")).alias("seq"))
-        .join(order.select("producer", "seq", "file_no", "rows"), ["producer", "seq"])
+        order.select("producer", "seq", "file_no", "rows").join(planned, ["producer", "seq"], "left")
         .groupBy("producer", "file_no", "rows")
-        .agg(F.collect_list(F.struct("field", "column", "kind")).alias("wanted")),
+        .agg(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "column", "kind", "note"))).alias("wanted")),
         "wanted",
     )
     rows = files.select("rec_id", "producer", F.col("file_no").cast("int").alias("file_no"), "payload")
+    none = F.array().cast(wanted.schema["wanted"].dataType).alias("wanted")
     return (
         join_counted(rows, wanted, ["producer", "file_no"], "rows", files.count())
         .select("rec_id", "producer", "file_no", "payload", "wanted")
-        .mapInArrow(_cells, "rec_id long, producer string, file_no int, column string, kind string, value string")
+        .unionByName(rows.where(F.col("producer").isNull() | F.col("file_no").isNull()).select("*", none))
+        .mapInArrow(_cells, "rec_id long, producer string, file_no int, column string, kind string, value string, field string, original string, note string")
     )
+
+
+def consistent_table(files: DataFrame) -> DataFrame:
+    """(rec_id, producer, file_no, column, kind, value): the rows of whole_table without where they come from."""
+    return whole_table(files).select("rec_id", "producer", "file_no", "column", "kind", "value")

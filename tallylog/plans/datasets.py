@@ -31,7 +31,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_table(spark: SparkSession, d: str) -> DataFrame:
-    return drift.consistent_table(table(spark, d, "message_files"))
+    return drift.whole_table(table(spark, d, "message_files"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

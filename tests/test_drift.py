@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallylog.functions.payloads import fingerprint, kind_of, read_object
-from tallylog.operators.drift import catalogue, consistent_table, schema_changes
+from tallylog.operators.drift import catalogue, consistent_table, schema_changes, whole_table
 from tests.conftest import rows
 
 SHAPE = "rec_id long, producer string, file_no int, id string, payload string"
@@ -132,6 +132,28 @@ def test_consistent_table_has_last_names_and_types(spark):
     assert got == sorted(((10 * n + i, "p", n, "b", "integer", str(i)) for n in (1, 2, 3) for i in range(3)), key=repr)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_table_holds_every_value(spark, seed):
+    data = make(seed)
+    got = whole_table(spark.createDataFrame(data, SHAPE).repartition(3)).collect()
+    want = Counter()
+    for rec, _, _, _, payload in data:
+        want.update([(rec, field) for field, _ in walk(load(payload or "") or {})] or [(rec, None)])
+    assert Counter((r["rec_id"], r["field"]) for r in got) == want
+    assert all(r["value"] is not None or r["original"] is not None for r in got if r["field"])
+
+
+def test_table_keeps_strays_uncastable_values_and_bare_rows(spark):
+    data = [(i, "p", 1, f"m{i}", json.dumps({"a": "x" if i == 3 else i, "o": {}} | ({"trace": [1]} if i == 5 else {}))) for i in range(20)]
+    data += [(20 + i, "p", 2, f"m{i}", t) for i, t in enumerate(("broken", None, "{}"))] + [(30, None, 1, "m", '{"a": "y"}'), (31, "q", 1, "m", '{"a": {"b": 1}, "a.b": 2}')]
+    got = [tuple(r)[:1] + tuple(r)[3:] for r in whole_table(spark.createDataFrame(data, SHAPE)).collect()]
+    want = [(i, "a", "integer", str(i), "a", None, None) for i in range(20) if i != 3]
+    want += [(3, "a", "integer", None, "a", "x", "uncast"), (5, "trace", "array", "[1]", "trace", None, "below_share")]
+    want += [(20, None, None, None, None, "broken", "unreadable"), (21, None, None, None, None, None, "unreadable"), (22, None, None, None, None, "{}", "no_values")]
+    want += [(30, "a", "string", "y", "a", None, "no_file"), *((31, "a.b", "integer", v, "a.b", None, None) for v in "12")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_payload_rules():
     assert read_object('{"a": 1') is None and read_object("") is None and read_object(None) is None and read_object("NaN") is None and read_object('{"a": NaN}') is None
     assert read_object(base64.b64encode(b'{"a": 1}').decode()) == {"a": 1}
