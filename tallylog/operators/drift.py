@@ -164,14 +164,14 @@ def renames(files: DataFrame, bounds: DataFrame, order: DataFrame, witnesses: in
     )
 
 
-def _changes(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _changes(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     seen = materialized(catalogue(files), "catalogue")
     # small tables that several branches read: written once, so no branch plans or runs their making again
     order = materialized(file_order(seen), "files")
     spans = materialized(lifespans(seen, order), "lifespans")
     bounds = materialized(boundaries(spans), "boundaries")
     renamed = materialized(renames(files, bounds, order), "renames")
-    return order, spans, bounds, renamed
+    return seen, order, spans, bounds, renamed
 
 
 def schema_changes(files: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def schema_changes(files: DataFrame) -> DataFrame:
     first file of a producer has none. Columns besides producer, file_no, id and
     payload are ignored.
     """
-    order, _, bounds, renamed = _changes(files)
+    _, order, _, bounds, renamed = _changes(files)
     one_sided = bounds.where(F.col("was").isNull() | F.col("now").isNull())
     paired = renamed.select("producer", "seq", F.explode(F.array("old", "new")).alias("field")).distinct()
     rest = one_sided.join(paired, ["producer", "seq", "field"], "left_anti").select(
@@ -201,17 +201,21 @@ def schema_changes(files: DataFrame) -> DataFrame:
 def alias_table(spans: DataFrame, renamed: DataFrame) -> DataFrame:
     """(producer, field, first_seq, last_seq, column, kind): what each lifespan of a field is called and typed in the end.
 
-    A lifespan that a rename or a retyping ends goes on as the one that starts at
-    the same file; the last of such a chain gives name and type. Chains are
-    followed by doubling, so their length costs only its logarithm in joins. A
-    field renamed to several goes on as the alphabetically first.
+    A lifespan that a rename ends goes on as the new name's that starts at the same
+    file; any other as the field's own next one in the producer, whether a retyping
+    or an absence of any length lies between. The last of such a chain gives name
+    and type, so a column has one type. Chains are followed by doubling, so their
+    length costs only its logarithm in joins. A field renamed to several goes on as
+    the alphabetically first. Where a field comes back by a rename from another,
+    both had values before, and these share the column.
     """
-    node = spans.select("producer", "field", "kind", "first_seq", "last_seq")
+    later = F.lead("first_seq").over(Window.partitionBy("producer", "field").orderBy("first_seq")).alias("later")
+    node = spans.select("producer", "field", "kind", "first_seq", "last_seq", later)
     step = renamed.groupBy("producer", "seq", "old").agg(F.min("new").alias("new"))
     starts = node.select("producer", F.col("field").alias("next_field"), F.col("kind").alias("next_kind"), F.col("first_seq").alias("next_seq"))
     linked = node.join(step.select("producer", F.col("seq").alias("s"), F.col("old").alias("o"), "new"), (node["producer"] == step["producer"]) & (F.col("o") == F.col("field")) & (F.col("s") == F.col("last_seq") + 1), "left").drop(step["producer"])
     at = F.coalesce("new", "field")
-    links = linked.withColumn("to", at).withColumn("to_seq", F.col("last_seq") + 1)
+    links = linked.withColumn("to", at).withColumn("to_seq", F.when(F.col("new").isNotNull(), F.col("last_seq") + 1).otherwise(F.col("later")))
     found = links.join(starts.withColumnRenamed("producer", "p"), (F.col("p") == F.col("producer")) & (F.col("next_field") == F.col("to")) & (F.col("next_seq") == F.col("to_seq")), "left").drop("p")
     chain = materialized(found.select("producer", "field", "kind", "first_seq", "last_seq", "next_field", "next_kind", "next_seq"), "aliases")
     while chain.where(F.col("next_seq").isNotNull()).limit(1).count():
@@ -235,6 +239,28 @@ def alias_table(spans: DataFrame, renamed: DataFrame) -> DataFrame:
     return chain.select("producer", "field", "first_seq", "last_seq", F.coalesce("next_field", "field").alias("column"), F.coalesce("next_kind", "kind").alias("kind"))
 
 
+def field_plan(seen: DataFrame, order: DataFrame, names: DataFrame) -> DataFrame:
+    """(producer, seq, field, column, kind, note): what each field that a file holds is called and typed in the end.
+
+    A file that holds a field outside its lifespans does so below the required share;
+    the field's last lifespan before the file decides then, or else its first one.
+    Fields without any lifespan in the producer aren't in the result.
+    """
+    held = seen.where(F.col("field").isNotNull()).select("producer", "file_no", "field").distinct().join(order.select("producer", "file_no", "seq"), ["producer", "file_no"])
+    span = F.struct("first_seq", "last_seq", "column", "kind").alias("span")
+    points = names.select("producer", "field", F.col("first_seq").alias("seq"), span)
+    own = Window.partitionBy("producer", "field")
+    placed = (
+        held.select("producer", "field", "seq", F.lit(None).cast(points.schema["span"].dataType).alias("span"))
+        .unionByName(points)
+        .withColumn("before", F.max("span").over(own.orderBy("seq").rangeBetween(Window.unboundedPreceding, 0)))
+        .withColumn("at", F.coalesce("before", F.min("span").over(own)))
+        .where(F.col("span").isNull() & F.col("at").isNotNull())
+    )
+    inside = F.col("seq").between(F.col("at.first_seq"), F.col("at.last_seq"))
+    return placed.select("producer", "seq", "field", "at.column", "at.kind", F.when(~inside, "below_share").alias("note"))
+
+
 _CELLS = pa.schema(
     [("rec_id", pa.int64()), ("producer", pa.string()), ("file_no", pa.int32())]
     + [(c, pa.string()) for c in ("column", "kind", "value", "field", "original", "note")]
@@ -297,7 +323,8 @@ def whole_table(files: DataFrame) -> DataFrame:
     - A value that the type can't hold has a null value and its text as
       `original`, and the note 'uncast' if it has no other.
     - A field that a file holds in fewer than the required rows has the note
-      'below_share', its own name and each value's own type.
+      'below_share'; one that no file of the producer holds in more has its own name
+      and each value's own type.
     - Rows without producer or file_no belong to no file; their values have the
       note 'no_file', their own names and types.
     - A row without any value comes out once, with null column and its payload as
@@ -307,9 +334,8 @@ def whole_table(files: DataFrame) -> DataFrame:
     All other rows have a null note. Of a name that stands twice in one JSON object
     the last value counts.
     """
-    order, spans, _, renamed = _changes(files)
-    names = alias_table(spans, renamed)
-    planned = names.select("producer", "field", "column", "kind", F.lit(None).cast("string").alias("note"), F.explode(F.sequence("first_seq", "last_seq")).alias("seq"))
+    seen, order, spans, _, renamed = _changes(files)
+    planned = field_plan(seen, order, alias_table(spans, renamed))
     wanted = materialized(
         order.select("producer", "seq", "file_no", "rows").join(planned, ["producer", "seq"], "left")
         .groupBy("producer", "file_no", "rows")
