@@ -38,14 +38,22 @@ def alive(as_of: int) -> Column:
 
 
 def gets(ops: DataFrame) -> DataFrame:
-    """(seq, key, value): what each get finds: the value of the last set before it, null after a del or before any set."""
+    """(seq, key, value): what each get finds: the value of the last set before it, null after a del or before any set.
+
+    Less than the store's get, as in the SQL twins: a key past its expiry is still
+    found, and values that increments wrote aren't seen.
+    """
     last = F.struct("seq", F.when(F.col("op") == SET, F.col("k")).alias("k"))
     seen = running(ops.where(F.col("op").isin(SET, DEL, GET)), ["key"], "seq", {"before": ("max", F.when(F.col("op") != GET, last))}, inclusive=False)
     return seen.where(F.col("op") == GET).select("seq", "key", F.col("before.k").alias("value"))
 
 
 def increments(ops: DataFrame) -> DataFrame:
-    """(seq, key, value): the counter after each incr; a set gives a new start, a del starts from 0."""
+    """(seq, key, value): the counter after each incr; a set gives a new start, a del starts from 0.
+
+    Less than the store's incr, as in the SQL twin: a key past its expiry goes on
+    from its old value, and a delta of 0 adds 0 where the handler adds 1.
+    """
     steps = ops.where(F.col("op").isin(SET, DEL, INCR)).select("seq", "key", "op", "k")
     added = F.when(F.col("op") == INCR, F.col("k")).otherwise(F.lit(0)).cast("long")
     summed = running(steps, ["key"], "seq", {"total": ("sum", added)}, inclusive=True)
