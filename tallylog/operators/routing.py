@@ -31,9 +31,9 @@ def topic_regex(pattern: str) -> str:
 
 
 def topic_matches(key: Column, pattern: str) -> Column:
-    """Whether a routing key matches a pattern; patterns without wildcards compare, '#' is always true."""
+    """Whether a routing key matches a pattern; patterns without wildcards compare, '#' takes every key but null."""
     if pattern == "#":
-        return F.lit(True)
+        return key.isNotNull()
     if not {"*", "#"} & set(pattern.split(".")):
         return key == pattern
     return F.concat(F.lit("."), key).rlike(topic_regex(pattern))

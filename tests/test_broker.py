@@ -42,6 +42,12 @@ def test_topic_patterns(spark, inline):
     assert 91 not in {s for s, _ in got}
 
 
+def test_null_keys_match_no_pattern(spark, inline):
+    messages = spark.createDataFrame([(90, "x", None, None), (91, "x", "", None), (92, None, "a", None)], MESSAGES)
+    bindings = spark.createDataFrame([("x", p, p, None, None) for p in ("#", "*", "#.#", "a")], BINDINGS)
+    assert rows(routing.route(messages, bindings, "topic").select("seq", "queue")) == [(91, "#"), (91, "#.#"), (91, "*")]
+
+
 def test_one_copy_per_queue(spark, inline):
     messages = spark.createDataFrame([(1, "x", "order.created", None), (2, "x", "user", None)], MESSAGES)
     bindings = spark.createDataFrame([("x", "q1", "order.*", None, None), ("x", "q1", "order.#", None, None), ("x", "q2", "user", None, None), ("x", "q2", "user", None, None)], BINDINGS)
