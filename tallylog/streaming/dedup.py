@@ -9,6 +9,10 @@ micro-batch by micro-batch.
 What the store held back, or what came behind the watermark, is looked up in the
 sightings written so far; so is an identifier that was sighted again after the
 store had let go of it. The best copy is chosen among the copies found so.
+
+Input of up to BYTES_PER_BATCH is one micro-batch: no identifier leaves the store
+and no row with a time is late. Whatever the batches, copies are counted in a batch
+comparison over all rows with an identifier, so the store doesn't decide the result.
 """
 
 from __future__ import annotations
