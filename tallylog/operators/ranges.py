@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallylog.session import parallelism
@@ -22,19 +22,34 @@ from tallylog.session import parallelism
 #: never results.
 SAMPLE_PER_RANGE = 60
 
+#: Rows that one range should hold at least and at most; they set how many ranges are
+#: made. MOST_RANGES bounds what the driver and the plan hold of the boundaries;
+#: beyond it ranges are longer.
+LEAST_ROWS, ROWS_PER_RANGE, MOST_RANGES = 10_000, 4_000_000, 20_000
+
+#: Rows looked at to find keys that hold more than a task's share. This bound only
+#: affects balance, never results.
+BUSY_SAMPLE = 200_000
+
 _RANGE, _LOCAL, _CARRY, _TOP = "__range", "__local", "__carry", "__top"
 
 
-def range_bounds(df: DataFrame, keys: list[str], order: str, ranges: int, sample_per_range: int = SAMPLE_PER_RANGE) -> list[tuple]:
+def ranges_for(spark: SparkSession, rows: int) -> int:
+    """How many ranges so many rows are cut into: as many as tasks run, more for many rows, fewer for few."""
+    return max(1, min(rows // LEAST_ROWS, max(parallelism(spark), min(MOST_RANGES, -(-rows // ROWS_PER_RANGE)))))
+
+
+def range_bounds(df: DataFrame, keys: list[str], order: str, ranges: int, sample_per_range: int = SAMPLE_PER_RANGE, rows: int | None = None) -> list[tuple]:
     """ranges - 1 boundaries (k1, .., order), ascending, from sampled quantiles.
 
-    keys and order must not be null. Fewer boundaries come back when the sample
+    keys and order must not be null. `rows` is the number of rows, or somewhat more;
+    they are counted if it isn't given. Fewer boundaries come back when the sample
     has fewer distinct points. String keys compare by their bytes, as in Spark.
     """
     if ranges < 2:
         return []
     points = df.select(*keys, order)
-    rows = points.count()
+    rows = points.count() if rows is None else rows
     if not rows:
         return []
     share = min(1.0, ranges * sample_per_range / rows)
@@ -72,7 +87,23 @@ _JOIN = {
 _STEP = {"max": F.max, "min": F.min, "sum": F.sum}
 
 
-def running(df: DataFrame, keys: list[str], order: str, values: dict[str, tuple[str, Column]], inclusive: bool, ranges: int | None = None) -> DataFrame:
+def windowed(df: DataFrame, keys: list[str], order: str, values: dict[str, tuple[str, Column]], inclusive: bool) -> DataFrame:
+    """What running gives, by plain windows: for keys of which none holds more than a task's share (see busy_keys)."""
+    along = Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    return df.select("*", *[_STEP[op](value).over(along).alias(name) for name, (op, value) in values.items()])
+
+
+def busy_keys(df: DataFrame, key: str, rows: int, tasks: int) -> list:
+    """Keys that hold over a quarter of one task's share in a sample; they can't be more than 4 x tasks."""
+    share = min(1.0, BUSY_SAMPLE / max(1, rows))
+    own = df.select(F.col(key).alias("k")).where(F.col("k").isNotNull())
+    counts = (own if share == 1.0 else own.sample(share, seed=11)).groupBy("k").count()
+    return sorted(r[0] for r in counts.where(F.col("count") > max(LEAST_ROWS / 10 * share, rows * share / (4 * tasks))).collect())
+
+
+def running(
+    df: DataFrame, keys: list[str], order: str, values: dict[str, tuple[str, Column]], inclusive: bool, ranges: int | None = None, rows: int | None = None
+) -> DataFrame:
     """df with one column per entry of `values`: ('max' | 'min' | 'sum', expression) over the rows of the same keys up to each row.
 
     Without `inclusive` only rows with a smaller `order` count, with it those with
@@ -84,12 +115,13 @@ def running(df: DataFrame, keys: list[str], order: str, values: dict[str, tuple[
     out. Rows with equal order share a range. A key may hold any share of the
     rows: it is cut at the sampled boundaries. Columns of df beyond those named
     are kept whatever their names, except names that start with two underscores.
-    An empty df gives an empty result. `order` is of an integer type.
+    An empty df gives an empty result. `order` is of an integer type. `rows`, the
+    number of rows or somewhat more where the caller knows it, saves counting them.
     """
     df = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, order]]))
     spark = df.sparkSession
-    ranges = ranges or parallelism(spark)
-    bounds = range_bounds(df, keys, order, ranges)
+    rows = df.count() if rows is None else rows
+    bounds = range_bounds(df, keys, order, ranges or ranges_for(spark, rows), rows=rows)
     cut = df.withColumn(_RANGE, range_of(df, keys, order, bounds))
     # repartitionById is exact: one range per partition, none by chance together
     spread = cut.repartitionById(len(bounds) + 1, _RANGE)
@@ -114,9 +146,9 @@ def running(df: DataFrame, keys: list[str], order: str, values: dict[str, tuple[
     return joined.select(*[F.col(c) for c in df.columns], *[_JOIN[op](F.col(_LOCAL + name), F.col(_CARRY + name)).alias(name) for name, (op, _) in values.items()])
 
 
-def running_before(df: DataFrame, keys: list[str], order: str, value: Column, name: str, ranges: int | None = None) -> DataFrame:
+def running_before(df: DataFrame, keys: list[str], order: str, value: Column, name: str, ranges: int | None = None, rows: int | None = None) -> DataFrame:
     """df with column `name`: the largest `value` among the rows of the same keys with a smaller `order` (see running)."""
-    return running(df, keys, order, {name: ("max", value)}, inclusive=False, ranges=ranges)
+    return running(df, keys, order, {name: ("max", value)}, inclusive=False, ranges=ranges, rows=rows)
 
 
 def positions(df: DataFrame, keys: list[str], order: str, name: str, ranges: int | None = None) -> DataFrame:
@@ -133,5 +165,6 @@ def late_rows(df: DataFrame, key: str, order: str, clock: str, slack: int, range
     whatever their names. See running for heavy keys and empty input.
     """
     rows = df.where(F.col(clock).isNotNull()).select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(clock).alias("c"))
-    seen = running_before(rows, ["k"], "o", F.col("c"), "seen", ranges)
+    # all rows are counted, not only those with a clock: of stored tables the footers tell
+    seen = running_before(rows, ["k"], "o", F.col("c"), "seen", ranges, df.count())
     return seen.where(F.col("seen") - F.col("c") > slack).select(F.col("k").alias(key), F.col("o").alias(order), F.col("c").alias(clock))
