@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallylog.functions.ids import canonical_id
-from tallylog.operators.ranges import busy_keys, running, running_before, windowed
+from tallylog.operators.ranges import busy_keys, range_bounds, ranges_for, running, running_before, windowed
 from tallylog.session import materialized, parallelism
 
 #: Record types of the write-ahead log.
@@ -39,12 +39,23 @@ def sum_images(images: DataFrame, keys: list[str], sign: str = "sign") -> DataFr
     return images.groupBy(*keys).agg(F.sum(sign).alias("__n")).where(F.col("__n") > 0).drop("__n")
 
 
-def _by_share(df: DataFrame, key: str, busy: list) -> list[tuple[DataFrame, Callable]]:
-    """df in parts with the way their running state is made: ordinary keys by windows, busy ones by split ranges."""
+def _by_share(df: DataFrame, keys: list[str], busy: list) -> list[tuple[DataFrame, Callable]]:
+    """df in parts with the way their running state is made: ordinary keys by windows, busy ones by split ranges.
+
+    df is read several times if there are busy keys, and so is each step of theirs,
+    which is therefore written.
+    """
     if not busy:
         return [(df, windowed)]
-    hit = F.col(key).isin(busy)
-    return [(df.where(~hit), windowed), (df.where(hit), running)]
+    hit = F.col(keys[-1]).isin(busy)
+    own = df.where(hit)
+    rows = own.count()
+    bounds = range_bounds(own, keys, "pos", ranges_for(df.sparkSession, rows), rows=rows)
+
+    def split(part, keys, order, values, inclusive):
+        return materialized(running(part, keys, order, values, inclusive, bounds=bounds), "running")
+
+    return [(df.where(~hit), windowed), (own, split)]
 
 
 def apply_changes(base: DataFrame, changes: DataFrame, feed: str, key: str, pos: str, kind: str, put: int, remove: int) -> DataFrame:
@@ -73,7 +84,7 @@ def apply_changes(base: DataFrame, changes: DataFrame, feed: str, key: str, pos:
     code = F.col("pos") * 2 + F.col("puts").cast("long")
     after_image = F.when(F.col("puts"), F.col("pos"))
     before_image = F.when(F.col("prev").bitwiseAND(F.lit(1)) == 1, F.shiftright("prev", 1))
-    before = _union(seen(part, ["feed", "key"], "pos", {"prev": ("max", code)}, False) for part, seen in _by_share(log, "key", busy))
+    before = _union(seen(part, ["feed", "key"], "pos", {"prev": ("max", code)}, False) for part, seen in _by_share(log, ["feed", "key"], busy))
     images = before.select("feed", "key", F.stack(F.lit(2), after_image, F.lit(1), before_image, F.lit(-1)).alias("pos", "sign")).where(F.col("pos").isNotNull())
     return sum_images(images, ["feed", "key", "pos"]).select(F.col("feed").alias(feed), F.col("key").alias(key), F.col("pos").alias(pos))
 
@@ -205,14 +216,14 @@ def _resolve(log: DataFrame, base: DataFrame | None, reduce: Callable[[DataFrame
     """
     spark = log.sparkSession
     events = materialized(_events(log, base), "message-events")
-    parts = _by_share(events, "msg_id", busy_keys(events, "msg_id", events.count(), parallelism(spark)))
+    parts = _by_share(events, ["msg_id"], busy_keys(events, "msg_id", events.count(), parallelism(spark)))
     done = materialized(_union(reduce(_effects(_begin(part, seen), seen)) for part, seen in parts), "steps")
     opened = done.where("open").select("msg_id").distinct()
     if opened.isEmpty():
         return done.drop("open")
     again = materialized(events.join(opened, "msg_id", "left_semi"), "message-events")
     slow = []
-    for part, seen in _by_share(again, "msg_id", busy_keys(again, "msg_id", again.count(), parallelism(spark))):
+    for part, seen in _by_share(again, ["msg_id"], busy_keys(again, "msg_id", again.count(), parallelism(spark))):
         begun = materialized(_begin(part, seen), "begun")
         slow.append(reduce(_effects(_chains(begun, seen), seen)))
     return done.join(opened, "msg_id", "left_anti").unionByName(_union(slow)).drop("open")

@@ -102,8 +102,9 @@ def busy_keys(df: DataFrame, key: str, rows: int, tasks: int) -> list:
 
 
 def running(
-    df: DataFrame, keys: list[str], order: str, values: dict[str, tuple[str, Column]], inclusive: bool, ranges: int | None = None, rows: int | None = None
-) -> DataFrame:
+    df: DataFrame, keys: list[str], order: str, values: dict[str, tuple[str, Column]], inclusive: bool, ranges: int | None = None, rows: int | None = None,
+    bounds: list[tuple] | None = None,
+) -> DataFrame:
     """df with one column per entry of `values`: ('max' | 'min' | 'sum', expression) over the rows of the same keys up to each row.
 
     Without `inclusive` only rows with a smaller `order` count, with it those with
@@ -116,12 +117,14 @@ def running(
     rows: it is cut at the sampled boundaries. Columns of df beyond those named
     are kept whatever their names, except names that start with two underscores.
     An empty df gives an empty result. `order` is of an integer type. `rows`, the
-    number of rows or somewhat more where the caller knows it, saves counting them.
+    number of rows or somewhat more where the caller knows it, saves counting them;
+    `bounds` (see range_bounds), those of rows with the same keys, saves sampling too.
     """
     df = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, order]]))
     spark = df.sparkSession
-    rows = df.count() if rows is None else rows
-    bounds = range_bounds(df, keys, order, ranges or ranges_for(spark, rows), rows=rows)
+    if bounds is None:
+        rows = df.count() if rows is None else rows
+        bounds = range_bounds(df, keys, order, ranges or ranges_for(spark, rows), rows=rows)
     cut = df.withColumn(_RANGE, range_of(df, keys, order, bounds))
     # repartitionById is exact: one range per partition, none by chance together
     spread = cut.repartitionById(len(bounds) + 1, _RANGE)
