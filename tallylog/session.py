@@ -60,6 +60,12 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def folder_size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 def materialized(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there.
 
