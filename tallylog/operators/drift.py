@@ -123,9 +123,10 @@ def renames(files: DataFrame, bounds: DataFrame, order: DataFrame, witnesses: in
     """(producer, seq, old, new): fields that ended and started at the same file, of one type, that the same messages carry with equal values.
 
     Only the fields at issue are read from only the files at issue; a file of any
-    size is read where its rows lie (see join_counted). Per message
-    the values are a set bounded by the width of its schema; evidence is combined
-    per pair of fields before the shuffle.
+    size is read where its rows lie (see join_counted). A message's values combine to
+    two per field before they are shuffled, however many rows it has, so what is
+    paired per message is bounded by the width of its schema; evidence is combined
+    per pair of fields before its shuffle.
     """
     ship(files.sparkSession)
     gone = bounds.where(F.col("now").isNull()).select("producer", "seq", "field", F.col("was").alias("kind"))
@@ -147,18 +148,21 @@ def renames(files: DataFrame, bounds: DataFrame, order: DataFrame, witnesses: in
         .select("producer", "id", "payload", "wanted")
         .mapInArrow(_pick_values, "producer string, seq int, id string, side tinyint, field string, kind string, value binary")
     )
-    held = F.struct("field", "kind", "value")
-    per_message = values.groupBy("producer", "seq", "id").agg(
-        F.collect_set(F.when(F.col("side") == 0, held)).alias("olds"), F.collect_set(F.when(F.col("side") == 1, held)).alias("news")
+    # what a message holds of a field, in any number of rows, as its least and greatest value
+    held = values.groupBy("producer", "seq", "id", "side", "field", "kind").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    field = F.struct("field", "kind", "low", "high")
+    per_message = held.groupBy("producer", "seq", "id").agg(
+        F.collect_list(F.when(F.col("side") == 0, field)).alias("olds"), F.collect_list(F.when(F.col("side") == 1, field)).alias("news")
     )
     pairs = (
         per_message.select("producer", "seq", F.explode("olds").alias("o"), "news")
         .select("producer", "seq", "o", F.explode("news").alias("n"))
         .where(F.col("o.kind") == F.col("n.kind"))
     )
+    equal = (F.col("o.low") == F.col("o.high")) & (F.col("n.low") == F.col("n.high")) & (F.col("o.low") == F.col("n.low"))
     return (
         pairs.groupBy("producer", "seq", F.col("o.field").alias("old"), F.col("n.field").alias("new"))
-        .agg(F.count("*").alias("both"), F.bool_and(F.col("o.value") == F.col("n.value")).alias("equal"))
+        .agg(F.count("*").alias("both"), F.bool_and(equal).alias("equal"))
         .where((F.col("both") >= witnesses) & F.col("equal"))
         .select("producer", "seq", "old", "new")
     )
