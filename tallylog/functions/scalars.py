@@ -17,6 +17,11 @@ def clamp_priority(p: Column) -> Column:
     return F.least(F.greatest(p, F.lit(0)), F.lit(PRIORITY_LEVELS - 1)).cast("int")
 
 
+def is_dead(retry: Column, max_retry: Column | int) -> Column:
+    """Rejected more often than the limit allows; at the limit a message is alive."""
+    return retry > max_retry
+
+
 def queue_order(level: Column, seq: Column) -> Column:
     """One number that sorts by falling level, then rising seq (seq below 2^58)."""
     return (F.lit(PRIORITY_LEVELS - 1).cast("long") - level) * F.lit(1 << 58) + seq
@@ -125,6 +130,11 @@ def dead_letter_name(queue: Column) -> Column:
     return F.concat(queue, F.lit(DLQ_SUFFIX))
 
 
+def durable_queue(topic: Column, subscriber: Column) -> Column:
+    """The queue that keeps a topic's messages for a durable subscriber."""
+    return F.concat_ws(":", topic, subscriber)
+
+
 def dead_letter_source(name: Column) -> Column:
     return F.regexp_replace(name, DLQ_SUFFIX + "$", "")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallylog.functions.scalars import queue_order
-from tallylog.operators.ranges import positions, running
+from tallylog.operators.ranges import positions
 
 
 def fifo(messages: DataFrame, queue: str = "topic", name: str = "pos") -> DataFrame:
@@ -35,9 +35,3 @@ def next_message(messages: DataFrame, as_of: int, queue: str = "topic") -> DataF
 def spilled(messages: DataFrame, capacity: int, queue: str = "topic") -> DataFrame:
     """messages with `spilled`: whether their level of the queue was full (capacity per level) when they came."""
     return positions(messages, [queue, "lvl"], "seq", "__at").withColumn("spilled", F.col("__at") > capacity).drop("__at")
-
-
-def in_flight(commands: DataFrame, key: str, takes, returns) -> DataFrame:
-    """commands with `in_flight`: deliveries less answers of the same key so far."""
-    step = F.when(takes, F.lit(1)).when(returns, F.lit(-1)).otherwise(F.lit(0)).cast("long")
-    return running(commands, [key], "seq", {"in_flight": ("sum", step)}, inclusive=True)

@@ -3,22 +3,22 @@
 Messages carry exchange, routing_key and headers; bindings are rows (exchange,
 queue, binding_key, headers, match_all). A queue bound several times gets one
 copy. Bindings are few as a rule: up to INLINE of them are compiled into one
-expression, evaluated where the message lies, without join or shuffle. With more,
-each distinct routing key (or set of headers) is routed once, by equality or in
-blocks of INLINE bindings, and leads back to its messages.
+expression, evaluated where the message lies, without join or shuffle. Beyond, the
+bindings are a table with a row per queue, joined with the distinct routing keys (or
+sets of headers), which lead back to their messages; arriving messages of a stream
+are joined with it themselves.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallylog.functions.ids import derived_id
 from tallylog.operators.joins import join_counted
+from tallylog.session import parallelism
 
 #: Bindings that are compiled into an expression; a checked bound.
 INLINE = 200
@@ -67,11 +67,40 @@ def _inline(messages: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFr
     return messages.withColumn("queue", F.explode(F.array_distinct(F.array_compact(F.array(*hits)))))
 
 
-def _blocks(bindings: DataFrame) -> Iterator[list]:
-    """Bindings in blocks of at most INLINE (at least 1)."""
-    rows = bindings.toLocalIterator()
-    while block := list(islice(rows, max(1, INLINE))):
-        yield block
+def _pattern_regex(pattern: Column) -> Column:
+    """topic_regex as an expression."""
+    quoted = lambda s: F.concat(F.lit(r"\.\Q"), F.replace(s, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    part = lambda s: F.when(s == "#", F.lit(r"(\.[^.]*)*")).when(s == "*", F.lit(r"\.[^.]*")).otherwise(quoted(s))
+    return F.concat(F.lit("^"), F.array_join(F.transform(F.split(pattern, r"\.", -1), part), ""), F.lit("$"))
+
+
+def _joined(rows: DataFrame, bindings: DataFrame, kind: str) -> DataFrame:
+    """rows with column `queue` by a join with the table of bindings, one row of it per queue.
+
+    Few exchanges take all messages, so their join would be one task's work: rows are
+    spread over as many salts as tasks run, and the bindings go to each. Rows may be a
+    stream.
+    """
+    salts = parallelism(rows.sparkSession)
+    rule = F.struct(_pattern_regex(F.coalesce("binding_key", F.lit(""))).alias("regex"), F.col("binding_key").alias("key"), F.map_entries("headers").alias("headers"), F.col("match_all").alias("all"))
+    rules = bindings.groupBy(F.col("exchange").alias("__exchange"), F.col("queue").alias("__queue")).agg(F.collect_set(rule).alias("__rules"))
+    rules = rules.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("routing_key") if "routing_key" in rows.columns else F.lit(0), F.lit(salts)).cast("int"))
+    key = F.concat(F.lit("."), F.col("routing_key")) if kind in ("topic", "direct") else F.lit("")
+    value = lambda e: F.coalesce(F.try_element_at(F.col("headers"), e["key"]), F.lit("")) == e["value"]
+
+    def fits(r: Column) -> Column:
+        if kind == "direct":
+            return r["key"] == F.col("routing_key")
+        if kind == "topic":
+            return F.rlike(key, r["regex"])
+        if kind == "fanout":
+            return F.lit(True)
+        wanted = F.coalesce(r["headers"], F.array().cast("array<struct<key:string,value:string>>"))
+        return (F.size(wanted) == 0) | F.when(F.coalesce(r["all"], F.lit(False)), F.forall(wanted, value)).otherwise(F.exists(wanted, value))
+
+    test = (F.col("exchange") == F.col("__exchange")) & (F.col("__salt") == F.col("__of")) & F.exists("__rules", fits)
+    return salted.join(rules, test).withColumn("queue", F.col("__queue")).drop("__exchange", "__queue", "__rules", "__of", "__salt")
 
 
 def route(messages: DataFrame, bindings: DataFrame, kind: str) -> DataFrame:
@@ -90,6 +119,8 @@ def route(messages: DataFrame, bindings: DataFrame, kind: str) -> DataFrame:
     few = bindings.limit(INLINE + 1).collect()
     if len(few) <= INLINE:
         return _inline(messages, [(b["exchange"], b["queue"], tests[kind](b)) for b in few])
+    if messages.isStreaming:
+        return _joined(messages, bindings, kind)
     # many bindings: find the queues of each distinct key once, then let the keys lead back to the messages
     if kind == "fanout":
         key, rows = ["exchange"], messages
@@ -103,12 +134,7 @@ def route(messages: DataFrame, bindings: DataFrame, kind: str) -> DataFrame:
         named = bindings.withColumnRenamed("binding_key", "routing_key")
         hits = keys.join(named.select(*key, "queue"), key)
     else:
-        hits = None
-        for block in _blocks(bindings):
-            part = _inline(keys, [(b["exchange"], b["queue"], tests[kind](b)) for b in block])
-            hits = part if hits is None else hits.unionByName(part)
-        if hits is None:
-            return messages.limit(0).withColumn("queue", F.lit(""))
+        hits = _joined(keys, bindings, kind)
     queues = hits.groupBy(*key, "__copies").agg(F.collect_set("queue").alias("__queues"))
     found = join_counted(rows, queues, key, "__copies", messages.count())
     return found.select(*[F.col(c) for c in messages.columns], F.explode("__queues").alias("queue"))

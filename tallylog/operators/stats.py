@@ -16,8 +16,19 @@ def long_format(parts: list[tuple[str, DataFrame]]) -> DataFrame:
 
 def counters(log: DataFrame, tests: dict[str, Column]) -> DataFrame:
     """(name, value): how many rows meet each condition, from one pass."""
-    row = log.agg(*[F.count_if(c).alias(n) for n, c in tests.items()])
-    return row.select(F.stack(F.lit(len(tests)), *[x for n in tests for x in (F.lit(n), F.col(n))]).alias("name", "value"))
+    return named(log.agg(*[F.count_if(c).alias(n) for n, c in tests.items()]))
+
+
+def named(row: DataFrame) -> DataFrame:
+    """(name, value): the columns of a single row."""
+    return row.select(F.stack(F.lit(len(row.columns)), *[x for n in row.columns for x in (F.lit(n), F.col(n).cast("long"))]).alias("name", "value"))
+
+
+def held(series: DataFrame, at: str, over: Column, seconds: int, least: int) -> DataFrame:
+    """(start, end, n): runs of at least `least` windows, each `seconds` after the one before, for which `over` holds; a window without rows ends a run."""
+    place = F.floor(F.unix_seconds(F.col(at).cast("timestamp")) / seconds)
+    hits = series.where(over).withColumn("__island", place - F.row_number().over(Window.orderBy(at)))  # one row per window
+    return hits.groupBy("__island").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("n")).where(F.col("n") >= least).drop("__island")
 
 
 def hourly(log: DataFrame, at: str, counts: dict[str, Column]) -> DataFrame:

@@ -37,11 +37,12 @@ def zero(name: str):
     return F.coalesce(F.col(name), F.lit(0)).alias(name)
 
 
-def messages(spark: SparkSession, d: str) -> DataFrame:
-    """The delivery log; rows without topic or publish time are left out, missing counters are 0."""
+def messages(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    """The delivery log; missing counters are 0. Rows without topic or publish time have no place in a queue and are
+    left out, but for queries about ids, which take every row."""
+    rows = table(spark, d, "messages")
     return (
-        table(spark, d, "messages")
-        .where(F.col("topic").isNotNull() & F.col("timestamp_ns").isNotNull())
+        (rows if every else rows.where(F.col("topic").isNotNull() & F.col("timestamp_ns").isNotNull()))
         .select(
             F.col("row_id").alias("seq"), canonical_id("id").alias("msg_id"), "topic", F.coalesce("exchange_name", F.lit("")).alias("exchange"),
             "routing_key", "payload", "headers", F.col("timestamp_ns").alias("ts_ns"), zero("retry"), F.coalesce("max_retry", F.lit(5)).alias("max_retry"),
@@ -58,6 +59,9 @@ MSG = """msg as (select row_id as seq, nullif(lower(trim(id, ' ')), '') as msg_i
   from messages where topic is not null and timestamp_ns is not null)"""
 
 
+EVERY = MSG.replace(" where topic is not null and timestamp_ns is not null", "")
+
+
 def commands(spark: SparkSession, d: str) -> DataFrame:
     """The replicated log as committed: per index the entry of the highest term, as first shipped."""
     raw = table(spark, d, "raft_commands").where(F.col("log_index").isNotNull())
@@ -70,6 +74,15 @@ CMD = """cmd as (select log_index as seq, cmd_type, nullif(lower(trim(message_id
   from raft_commands where log_index is not null) where rn = 1)"""
 
 
+_NEVER = 9223372036854775807
+#: Lives of messages in the replicated log: inserts that took effect, with what ended them; needs `with recursive` and CMD.
+LIVES = f"""i as (select c.msg_id, c.topic, c.seq as start, coalesce((select min(p.seq) from cmd p where p.cmd_type = 7 and p.topic = c.topic and p.seq > c.seq), {_NEVER}) as purge,
+    coalesce((select min(a.seq) from cmd a where a.cmd_type = 2 and a.msg_id = c.msg_id and a.seq > c.seq), {_NEVER}) as ack from cmd c where c.cmd_type = 1 and c.msg_id is not null),
+  nx as (select a.*, least(purge, ack) as stop, (select min(b.start) from i b where b.msg_id = a.msg_id and b.start > least(a.purge, a.ack)) as nxt from i a),
+  life as (select nx.* from nx join (select msg_id, min(start) as start from i group by 1) f on f.msg_id = nx.msg_id and f.start = nx.start
+    union all select nx.* from life join nx on nx.msg_id = life.msg_id and nx.start = life.nxt)"""
+
+
 def wal(spark: SparkSession, d: str) -> DataFrame:
     """The brokers' logs, each record once, as first shipped."""
     raw = table(spark, d, "wal_records").where(F.col("node_id").isNotNull() & F.col("lsn").isNotNull())

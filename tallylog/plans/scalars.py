@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallylog.functions import envelope
 from tallylog.functions import scalars as S
 from tallylog.functions.ids import derived_id
 from tallylog.plans.base import AS_OF, AS_OF_EVENTS, EV, MSG, Plans, events, messages
@@ -51,13 +52,15 @@ def dlq_source_name(spark, d):
     return names.select("dlq", S.dead_letter_source(F.col("dlq")).alias("source"))
 
 
-@P.add(f"""with {EV} select seq, array_to_string(list_filter(['n' || key, op, case when op <> 'n' || key then 'z' end], lambda x: x is not null), '|') as seeds from ev""")
+@P.add(f"""with {EV}, t as (select seq, list_filter(list_transform(string_split(' n' || key || ' , ,' || op || ',n' || key || ',z,, ' || op, ','), lambda s: trim(s)), lambda s: s <> '') as l from ev)
+  select seq, array_to_string(list_filter(l, lambda s, i: list_position(l, s) = i), '|') as seeds from t""")
 def seed_list(spark, d):
     text = F.concat(F.lit(" n"), F.col("key").cast("string"), F.lit(" , ,"), F.col("op"), F.lit(",n"), F.col("key").cast("string"), F.lit(",z,, "), F.col("op"))
     return events(spark, d).select("seq", F.array_join(S.seed_list(text), "|").alias("seeds"))
 
 
-@P.add(f"""with {EV} select seq, case when seq % 3 = 0 then op else op end as peer, case when seq % 3 = 0 then op else '10.0.0.' || key end as addr from ev""")
+@P.add(f"""with {EV}, t as (select seq, case when seq % 3 = 0 then op else op || '@10.0.0.' || key end as text from ev)
+  select seq, split_part(text, '@', 1) as peer, coalesce(nullif(split_part(text, '@', 2), ''), text) as addr from t""")
 def peer_split(spark, d):
     text = F.when(F.col("seq") % 3 == 0, F.col("op")).otherwise(F.concat("op", F.lit("@10.0.0."), F.col("key").cast("string")))
     return events(spark, d).select("seq", S.peer_id(text).alias("peer"), S.peer_address(text).alias("addr"))
@@ -77,13 +80,15 @@ def json_valid(spark, d):
     return messages(spark, d).select("seq", S.is_json(F.col("payload")).alias("valid"))
 
 
-@P.add(f"""with {EV} select seq, case seq % 3 when 0 then op || ' "x"' when 1 then op else cast(k as varchar) end as value from ev""")
+@P.add(f"""with {EV}, t as (select seq, case seq % 3 when 0 then '"' || op || ' \\"x\\""' when 1 then op else cast(k as varchar) end as text from ev)
+  select seq, case when json_valid(text) and json_type(text) = 'VARCHAR' then json_extract_string(text, '$') else text end as value from t""")
 def kv_unwrap(spark, d):
     text = F.when(F.col("seq") % 3 == 0, F.concat(F.lit('"'), F.col("op"), F.lit(' \\"x\\""'))).when(F.col("seq") % 3 == 1, F.col("op")).otherwise(F.col("k").cast("string"))
     return events(spark, d).select("seq", S.unwrap_json_string(text).alias("value"))
 
 
-@P.add(f"""with {EV} select seq, case seq % 7 when 0 then k when 1 then 0 when 2 then null when 3 then null when 4 then 3 when 5 then -k else null end::bigint as value from ev""")
+@P.add(f"""with {EV}, t as (select seq, trim(case seq % 7 when 0 then ' ' || k || ' ' when 1 then '  ' when 2 then 'x1' when 3 then '1.5' when 4 then '+3' when 5 then '-' || k else '99999999999999999999' end) as text from ev)
+  select seq, case when text = '' then 0 when regexp_full_match(text, '[+-]?[0-9]+') then try_cast(ltrim(text, '+') as bigint) end::bigint as value from t""")
 def kv_parse_int(spark, d):
     k = F.col("k").cast("string")
     text = (
@@ -141,13 +146,15 @@ def frame_limit(spark, d):
     return messages(spark, d).where(F.coalesce(F.octet_length("payload"), F.lit(0)) <= S.MAX_FRAME_BYTES).select("seq")
 
 
-_ENVELOPE = "seq bigint, topic string, retry int, priority int, ts_ns bigint"
+HEADERS_SQL = "case when headers is null then null else coalesce(array_to_string(list_sort(list_transform(map_entries(headers), lambda e: e.key || '=' || coalesce(e.value, ''))), '&'), '') end"
+_WIRE = ", ".join(f"{HEADERS_SQL if n == 'headers' else c} as {n}" for n, (c, _) in envelope.FIELDS.items())
 
 
-@P.add(f"with {MSG} select seq, topic, retry, priority, ts_ns from msg")
+@P.add(f"select row_id as seq, {_WIRE} from messages")
 def json_roundtrip(spark, d):
-    text = messages(spark, d).select(F.to_json(F.struct("seq", "topic", "retry", "priority", "ts_ns")).alias("line"))
-    return text.select(F.from_json("line", _ENVELOPE).alias("m")).select("m.*")
+    """Every message's whole envelope to JSON and back."""
+    back = table(spark, d, "messages").select(F.col("row_id").alias("seq"), envelope.encode().alias("line")).select("seq", envelope.decode(F.col("line")).alias("m"))
+    return back.select("seq", *[envelope.headers_text(F.col("m.headers")).alias(n) if n == "headers" else F.col(f"m.{n}") for n in envelope.FIELDS])
 
 
 @P.add(f"with {MSG} select seq from msg where expires_at > 0 and {AS_OF} > expires_at")
@@ -168,7 +175,7 @@ def delayed_ready(spark, d):
 
 
 _STATE = f"""case when expires_at > 0 and {AS_OF} > expires_at then 'expired' when ts_ns > {AS_OF} then 'future'
-  when retry >= max_retry then 'dead' when deliver_at > {AS_OF} then 'delayed' else 'ready' end"""
+  when retry > max_retry then 'dead' when deliver_at > {AS_OF} then 'delayed' else 'ready' end"""
 
 
 def state_of(as_of: int):
@@ -176,7 +183,7 @@ def state_of(as_of: int):
     return (
         F.when((F.col("expires_at") > 0) & (F.lit(as_of) > F.col("expires_at")), "expired")
         .when(F.col("ts_ns") > as_of, "future")
-        .when(F.col("retry") >= F.col("max_retry"), "dead")
+        .when(S.is_dead(F.col("retry"), F.col("max_retry")), "dead")
         .when(F.col("deliver_at") > as_of, "delayed")
         .otherwise("ready")
     )
@@ -187,9 +194,17 @@ def lifecycle_state(spark, d):
     return messages(spark, d).groupBy("topic", state_of(AS_OF).alias("state")).agg(F.count("*").alias("n"))
 
 
-@P.add(f"with {MSG} select seq, case when expires_at > 0 and expires_at <= {AS_OF} then 'dropped' when deliver_at > {AS_OF} then 'delayed' else 'queued' end as state from msg")
+_GONE = f"(expires_at > 0 and expires_at <= {AS_OF}) or (ttl_ns > 0 and ts_ns + ttl_ns <= {AS_OF})"
+
+
+def _gone():
+    """Expired by either clock that recovery looks at."""
+    return ((F.col("expires_at") > 0) & (F.col("expires_at") <= AS_OF)) | ((F.col("ttl_ns") > 0) & (F.col("ts_ns") + F.col("ttl_ns") <= AS_OF))
+
+
+@P.add(f"with {MSG} select seq, case when {_GONE} then 'dropped' when deliver_at > {AS_OF} then 'delayed' else 'queued' end as state from msg")
 def recover_state(spark, d):
-    state = F.when((F.col("expires_at") > 0) & (F.col("expires_at") <= AS_OF), "dropped").when(F.col("deliver_at") > AS_OF, "delayed").otherwise("queued")
+    state = F.when(_gone(), "dropped").when(F.col("deliver_at") > AS_OF, "delayed").otherwise("queued")
     return messages(spark, d).select("seq", state.alias("state"))
 
 

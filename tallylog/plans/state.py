@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallylog.functions.scalars import clamp_priority, glob_match, wal_record_bytes
+from tallylog.functions import scalars as S
+from tallylog.functions.scalars import clamp_priority, glob_match, is_dead, wal_record_bytes
 from tallylog.operators import kv, stats
-from tallylog.operators.changes import WAL_ACK, WAL_PUBLISH, apply_changes
+from tallylog.operators.changes import WAL_ACK, WAL_PUBLISH, apply_changes, raft_state
 from tallylog.operators.ranges import positions, running
-from tallylog.plans.base import AS_OF, AS_OF_EVENTS, CMD, EV, MSG, WAL, Plans, commands, events, messages, wal
+from tallylog.plans.base import AS_OF, AS_OF_EVENTS, CMD, EV, LIVES, MSG, WAL, Plans, commands, events, messages, wal
 from tallylog.plans.queues import _SUBS, subscriptions
 from tallylog.plans.scalars import _STATE, state_of
+from tallylog.session import fresh_dir
+from tallylog.sources.snapshots import read_snapshot, write_snapshot
 from tallylog.sources.tables import table
 
 P = Plans()
@@ -51,6 +56,14 @@ def kv_live(spark, d):
     return _live(spark, d)
 
 
+@P.add(f"with {EV}, {_KV} select key, value, created_ns, expires_ns from live")
+def kv_snapshot(spark, d):
+    """What is live, written as a snapshot and restored from it."""
+    path = fresh_dir(spark, "kv-snapshot")
+    write_snapshot(_live(spark, d).withColumn("bucket", F.lit("kv")), path)
+    return read_snapshot(spark, path).select("key", "value", "created_ns", "expires_ns")
+
+
 @P.add(f"""with {EV} select seq, key, value from (select seq, key, op, last_value(case when op in ('signup', 'purchase') then seq end ignore nulls) over (partition by key order by seq rows unbounded preceding) as s from ev) x
   left join (select seq as wseq, case when op = 'signup' then k end as value from ev) y on x.s = y.wseq where op = 'view'""")
 def kv_get_asof(spark, d):
@@ -152,39 +165,93 @@ def kv_hit_rate(spark, d):
 # Statistics
 
 
-@P.add(f"""with {MSG}, {CMD}, {_SUBS} select 'queue' as kind, topic as name, count(*) as n from msg where {_STATE} = 'ready' group by 2
+_QUEUES = """known as (select topic as name from msg union select topic from cmd where cmd_type in (1, 5) and topic is not null union select queue_name from cmd where cmd_type = 13 and queue_name is not null)"""
+
+
+def _queues(spark, d):
+    """Every queue that a publish, a consume or a binding made: each is there from then on, empty or not."""
+    log = commands(spark, d)
+    made = log.where(F.col("cmd_type").isin(1, 5)).select(F.col("topic").alias("name")).unionByName(log.where(F.col("cmd_type") == 13).select(F.col("queue_name").alias("name")))
+    return messages(spark, d).select(F.col("topic").alias("name")).unionByName(made.where(F.col("name").isNotNull())).distinct()
+
+
+@P.add(f"with {MSG}, {CMD}, {_QUEUES} select name, count(seq) as depth from known left join msg on topic = name and {_STATE} = 'ready' group by 1")
+def queue_depths(spark, d):
+    """Depth of every queue there is; drained and never used ones show 0."""
+    ready = messages(spark, d).where(state_of(AS_OF) == "ready").groupBy(F.col("topic").alias("name")).agg(F.count("*").alias("depth"))
+    return _queues(spark, d).join(ready, "name", "left").select("name", F.coalesce("depth", F.lit(0)).alias("depth"))
+
+
+@P.add(f"""with {MSG}, {CMD}, {_SUBS}, {_QUEUES} select 'queue' as kind, name, count(seq) as n from known left join msg on topic = name and {_STATE} = 'ready' group by 2
   union all select 'dead_letter', topic || '_dead_letter', count(*) from msg where {_STATE} = 'dead' group by 2
-  union all select 'topic', topic, count(*) from subs group by 2
+  union all select 'topic', t.topic, count(subscriber_id) from (select distinct topic from cmd where cmd_type in (4, 9) and topic is not null) t left join subs on subs.topic = t.topic group by 2
   union all select 'total', 'delayed', count(*) from msg where {_STATE} = 'delayed'
   union all select 'total', 'pending', count(*) from msg where {_STATE} = 'ready' and delivery_count > 0""")
 def broker_stats(spark, d):
     m = messages(spark, d).withColumn("state", state_of(AS_OF))
     per = lambda df, name: df.groupBy(name.alias("name")).agg(F.count("*").alias("n"))
     one = lambda df, name: df.agg(F.count("*").alias("n")).withColumn("name", F.lit(name))
-    ready = m.where(F.col("state") == "ready")
+    ready, log = m.where(F.col("state") == "ready"), commands(spark, d)
+    topics = log.where(F.col("cmd_type").isin(4, 9) & F.col("topic").isNotNull()).select(F.col("topic").alias("name")).distinct()
     return stats.long_format([
-        ("queue", per(ready, F.col("topic"))),
+        ("queue", queue_depths(spark, d).withColumnRenamed("depth", "n")),
         ("dead_letter", per(m.where(F.col("state") == "dead"), F.concat("topic", F.lit("_dead_letter")))),
-        ("topic", per(subscriptions(commands(spark, d)), F.col("topic"))),
+        ("topic", topics.join(per(subscriptions(log), F.col("topic")), "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))),
         ("total", one(m.where(F.col("state") == "delayed"), "delayed")),
         ("total", one(ready.where(F.col("delivery_count") > 0), "pending")),
     ])
 
 
-#: The counters, with the command types or conditions that feed them.
+#: The counters by name, with what feeds them: command types, or store operations.
 _COUNTERS = {
     "messages_published": "cmd_type in (1, 4, 15)", "messages_consumed": "cmd_type = 5", "messages_acked": "cmd_type = 2", "messages_nacked": "cmd_type = 3",
-    "messages_promoted": "cmd_type = 6", "queue_purges": "cmd_type in (7, 8)", "raft_apply_count": "cmd_type between 1 and 15",
+    "raft_apply_count": "cmd_type between 1 and 15",
 }
-_COUNT_SQL = " union all ".join(f"select '{n}' as name, count(*) filter (where {c}) as value from cmd" for n, c in _COUNTERS.items())
+_CACHE = {"cache_sets": "op = 'signup'", "cache_deletes": "op = 'purchase'"}
+#: The limit of rejections for retry_count and dead_letter_count, as in retry_dlq.
+_LIMIT = 1
+_COUNT_SQL = " union all ".join(
+    [f"select '{n}' as name, count(*) filter (where {c}) as value from cmd" for n, c in _COUNTERS.items()]
+    + [f"select '{n}', count(*) filter (where {c}) from ev" for n, c in _CACHE.items()]
+    + [
+        f"select 'retry_count', cast(coalesce(sum(least(n, {_LIMIT})), 0) as bigint) from nacked", f"select 'dead_letter_count', count(*) filter (where n > {_LIMIT}) from nacked",
+        "select 'cache_hits', count(*) filter (where s = 'signup') from got", "select 'cache_misses', count(*) filter (where s is distinct from 'signup') from got",
+        "select 'leader_changes', greatest(count(distinct term) - 1, 0) from raft_commands r join cmd on cmd.cmd_row = r.cmd_row", "select 'snapshot_count', 0",
+    ]
+)
+_COUNTED = f"""{CMD.replace("select log_index as seq", "select cmd_row, log_index as seq")}, {EV}, nacked as (select msg_id, count(*) as n from cmd where cmd_type = 3 and msg_id is not null group by 1),
+  got as (select s from (select op, last_value(case when op in ('signup', 'purchase') then op end ignore nulls) over (partition by key order by seq rows unbounded preceding) as s from ev) where op = 'view')"""
+
+
+@P.add(f"with {_COUNTED} {_COUNT_SQL}")
+def metrics_counters(spark, d):
+    """The thirteen counters from the logs. A term's first committed entry is a change of leader; these logs hold no
+    command for a snapshot, so its count is 0."""
+    log, ev = commands(spark, d), events(spark, d)
+    nacks = log.where((F.col("cmd_type") == 3) & F.col("msg_id").isNotNull()).groupBy("msg_id").agg(F.count("*").alias("n"))
+    retried = nacks.agg(F.coalesce(F.sum(F.least("n", F.lit(_LIMIT))), F.lit(0)).alias("retry_count"), F.count_if(F.col("n") > _LIMIT).alias("dead_letter_count"))
+    got = kv.gets(ev).agg(F.count("value").alias("cache_hits"), F.count_if(F.col("value").isNull()).alias("cache_misses"))
+    terms = table(spark, d, "raft_commands").where(F.col("log_index").isNotNull()).groupBy("log_index").agg(F.max("term").alias("term"))
+    leaders = terms.agg(F.greatest(F.countDistinct("term") - 1, F.lit(0)).alias("leader_changes")).withColumn("snapshot_count", F.lit(0).cast("long"))
+    parts = [stats.counters(log, {n: F.expr(c) for n, c in _COUNTERS.items()}), stats.counters(ev, {n: F.expr(c) for n, c in _CACHE.items()}), *map(stats.named, (retried, got, leaders))]
+    return reduce(DataFrame.unionByName, parts)
 
 
-@P.add(f"with {CMD} {_COUNT_SQL}")
-def metrics_counters(spark, d):
-    return stats.counters(commands(spark, d), {n: F.expr(c) for n, c in _COUNTERS.items()})
+_NAMES = (
+    "messages_published", "messages_consumed", "messages_acked", "messages_nacked", "retry_count", "dead_letter_count", "raft_apply_count", "snapshot_count", "leader_changes",
+    "cache_hits", "cache_misses", "cache_sets", "cache_deletes",
+)
+
 
+@P.add(f"""with {_COUNTED}, c as ({_COUNT_SQL}) select '{{' || string_agg('"' || name || '":' || value, ',' order by list_position({list(_NAMES)}, name)) || '}}' as line from c""")
+def metrics_json(spark, d):
+    """The counters as one JSON object."""
+    c = metrics_counters(spark, d)
+    row = c.agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in _NAMES])
+    return row.select(F.to_json(F.struct(*_NAMES)).alias("line"))
 
-@P.add(f"""with {CMD}, c as ({_COUNT_SQL}) select '# HELP ' || name || ' Total ' || replace(name, '_', ' ') as line from c
+
+@P.add(f"""with {_COUNTED}, c as ({_COUNT_SQL}) select '# HELP ' || name || ' Total ' || replace(name, '_', ' ') as line from c
   union all select '# TYPE ' || name || ' counter' from c union all select name || ' ' || value from c""")
 def prometheus_lines(spark, d):
     c, name = metrics_counters(spark, d), F.col("name")
@@ -195,7 +262,7 @@ def prometheus_lines(spark, d):
     return c.select(F.explode(lines).alias("line"))
 
 
-@P.add(f"""with {CMD}, {MSG}, {WAL}, c as ({_COUNT_SQL}) select 'metric' as kind, name, cast(value as bigint) as n from c
+@P.add(f"""with {_COUNTED}, {MSG}, {WAL}, c as ({_COUNT_SQL}) select 'metric' as kind, name, cast(value as bigint) as n from c
   union all select 'storage', 'wal_bytes', cast(sum(octet_length(encode(coalesce(payload, msg_id, ''))) + 9) as bigint) from wal
   union all select 'state', {_STATE}, count(*) from msg group by 2""")
 def overview(spark, d):
@@ -205,9 +272,9 @@ def overview(spark, d):
     return stats.long_format([("metric", metrics_counters(spark, d).withColumnRenamed("value", "n")), ("storage", size), ("state", states)])
 
 
-@P.add(f"with {MSG} select count(distinct topic) as queues, count(*) as messages from msg where retry >= max_retry")
+@P.add(f"with {MSG} select count(distinct topic) as queues, count(*) as messages from msg where retry > max_retry")
 def dlq_total(spark, d):
-    dead = messages(spark, d).where(F.col("retry") >= F.col("max_retry"))
+    dead = messages(spark, d).where(is_dead(F.col("retry"), F.col("max_retry")))
     return dead.agg(F.countDistinct("topic").alias("queues"), F.count("*").alias("messages"))
 
 
@@ -249,15 +316,58 @@ def _hours(spark, d):
 
 
 @P.add(f"with {EV}, {_H} " + _STREAK.format("errors > 1"))
-def alert_dlq_rate(spark, d):
+def alert_errors_hourly(spark, d):
+    """The alerts' shape at this log's own pace: hours with more than one error, two or more in a row."""
     return stats.streaks(_hours(spark, d), "hour", F.col("errors") > 1, 2)
 
 
 @P.add(f"with {EV}, {_H} " + _STREAK.format("published - consumed > 1"))
-def alert_lag(spark, d):
+def alert_lag_hourly(spark, d):
     return stats.streaks(_hours(spark, d), "hour", F.col("published") - F.col("consumed") > 1, 2)
 
 
+#: Fixed values of the documented alerts: dead letters a second for five minutes, lag a second for ten.
+_DLQ_RATE, _LAG_RATE, _WINDOW_S = 1, 100, 300
+_R5 = f"""e as (select ts, op, case when op = 'error' then row_number() over (partition by key, op order by seq) end as nth from ev),
+  r as (select time_bucket(interval 5 minute, ts) as start, {_RATES}, count(*) filter (where nth <= 5) as retried, count(*) filter (where nth > 5) as dead from e group by 1)"""
+_HELD_FOR = """select min(start) as start, max(start) as "end", count(*) as n from (select start, epoch(start) // 300 - row_number() over (order by start) as island from r where {0}) group by island having count(*) >= {1}"""
+
+
+def _five_minutes(spark, d):
+    """(start, published, consumed, acked, retried, dead) per five minutes; a key's errors beyond the retry limit are dead letters."""
+    log = events(spark, d)
+    errors = positions(log.where(F.col("op") == "error").select("seq", "key", "ts"), ["key"], "seq", "nth").select("ts", F.lit("error").alias("op"), "nth")
+    both = log.where(F.col("op") != "error").select("ts", "op", F.lit(None).cast("long").alias("nth")).unionByName(errors)
+    counts = _rates() | {"retried": F.col("nth") <= S.DEFAULT_MAX_RETRY, "dead": F.col("nth") > S.DEFAULT_MAX_RETRY}
+    return both.groupBy(F.window("ts", "5 minutes")["start"].alias("start")).agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+
+
+@P.add(f"with {EV}, {_R5} select start, retried / 300.0::double as retry_rate, dead / 300.0::double as dead_letter_rate, case when consumed > 0 then acked * 100.0::double / consumed end as success_pct from r")
+def delivery_rates_5m(spark, d):
+    """Retries and dead letters a second, and the share of deliveries acknowledged."""
+    rate = lambda c: F.col(c).cast("double") / F.lit(float(_WINDOW_S))
+    success = F.when(F.col("consumed") > 0, F.col("acked") * F.lit(100.0) / F.col("consumed"))
+    return _five_minutes(spark, d).select("start", rate("retried").alias("retry_rate"), rate("dead").alias("dead_letter_rate"), success.alias("success_pct"))
+
+
+@P.add(f"with {EV}, {_R5} " + _HELD_FOR.format(f"dead > {_DLQ_RATE * _WINDOW_S}", 1))
+def alert_dlq_rate(spark, d):
+    """More than one dead letter a second for five minutes."""
+    return stats.held(_five_minutes(spark, d), "start", F.col("dead") > _DLQ_RATE * _WINDOW_S, _WINDOW_S, 1)
+
+
+@P.add(f"with {EV}, {_R5} " + _HELD_FOR.format(f"published - consumed > {_LAG_RATE * _WINDOW_S}", 2))
+def alert_lag(spark, d):
+    """Publishing ahead of consuming by more than a hundred messages a second for ten minutes."""
+    return stats.held(_five_minutes(spark, d), "start", F.col("published") - F.col("consumed") > _LAG_RATE * _WINDOW_S, _WINDOW_S, 2)
+
+
+@P.add(f"with {EV}, {_R5} " + _HELD_FOR.format("published - consumed > 0", 2))
+def lag_periods(spark, d):
+    """Ten minutes and more of publishing ahead of consuming at all."""
+    return stats.held(_five_minutes(spark, d), "start", F.col("published") - F.col("consumed") > 0, _WINDOW_S, 2)
+
+
 @P.add(f"with {EV}, {_H} select hour, published, greatest(0, published - coalesce(lag(published) over (order by hour), published)) as delta from h")
 def throughput_delta(spark, d):
     w = Window.orderBy("hour")  # one row per hour
@@ -338,15 +448,8 @@ def snapshot_plus_tail(spark, d):
     return apply_changes(snapshot, log.where(F.col("pos") > 1000), *args)
 
 
-@P.add(f"""with {CMD}, dels as (select exchange_name, max(seq) as gone from cmd where cmd_type = 12 group by 1),
-  b as (select c.exchange_name, queue_name, binding_key, seq, case cmd_type when 13 then 1 else -1 end as step from cmd c left join dels using (exchange_name)
-    where cmd_type in (13, 14) and c.exchange_name is not null and queue_name is not null and binding_key is not null and seq > coalesce(gone, -1)),
-  s as (select *, sum(step) over (partition by exchange_name, queue_name, binding_key order by seq) as total from b)
-  select exchange_name, queue_name, binding_key, cast(sum(step) - least(0, min(total)) as bigint) as n from s group by all having sum(step) - least(0, min(total)) > 0""")
-def bindings_active(spark, d):
-    """Bindings and how often each is bound. An unbind of nothing does nothing: the walk is floored at 0 at each step,
-    which its sum and its lowest point give without replaying it. Deleting an exchange ends its bindings."""
-    log = commands(spark, d)
+def _bindings(log):
+    """(exchange_name, queue_name, binding_key, n) of a command log; see bindings_active."""
     key = ["exchange_name", "queue_name", "binding_key"]
     gone = log.where(F.col("cmd_type") == 12).groupBy("exchange_name").agg(F.max("seq").alias("gone"))
     steps = (
@@ -358,17 +461,71 @@ def bindings_active(spark, d):
     return walked.groupBy(*key).agg(n.alias("n")).where(F.col("n") > 0)
 
 
+def _exchanges(log):
+    """(exchange_name, exchange_type) declared since they were last deleted."""
+    own = log.where(F.col("cmd_type").isin(11, 12) & F.col("exchange_name").isNotNull())
+    gone = own.groupBy("exchange_name").agg(F.max(F.when(F.col("cmd_type") == 12, F.col("seq"))).alias("gone"))
+    declared = own.where((F.col("cmd_type") == 11) & F.col("exchange_type").isNotNull()).join(gone, "exchange_name")
+    return declared.where(F.col("seq") > F.coalesce("gone", F.lit(-1))).groupBy("exchange_name").agg(F.min_by("exchange_type", "seq").alias("exchange_type"))
+
+
+_BOUND = """dels as (select exchange_name, max(seq) as gone from cmd where cmd_type = 12 group by 1),
+  b as (select c.exchange_name, queue_name, binding_key, seq, case cmd_type when 13 then 1 else -1 end as step from cmd c left join dels using (exchange_name)
+    where cmd_type in (13, 14) and c.exchange_name is not null and queue_name is not null and binding_key is not null and seq > coalesce(gone, -1)),
+  s as (select *, sum(step) over (partition by exchange_name, queue_name, binding_key order by seq) as total from b)"""
 _EXCH = """ex as (select exchange_name, exchange_type, seq, cmd_type, coalesce(max(case when cmd_type = 12 then seq end) over (partition by exchange_name), -1) as gone from cmd
   where cmd_type in (11, 12) and exchange_name is not null)"""
 
 
+@P.add(f"""with recursive {CMD}, {LIVES}, {_SUBS}, {_BOUND}, {_EXCH}
+  select 'message' as kind, coalesce(topic, '') as name, msg_id as detail, cast(1 as bigint) as n from life where purge = 9223372036854775807 and ack = 9223372036854775807
+  union all select 'subscriber', topic, subscriber_id, 1 from subs
+  union all select 'exchange', exchange_name, arg_min(exchange_type, seq), 1 from ex where cmd_type = 11 and seq > gone and exchange_type is not null group by 2
+  union all select 'binding', exchange_name, queue_name || ' ' || binding_key, cast(sum(step) - least(0, min(total)) as bigint) from s group by 2, 3, queue_name, binding_key having sum(step) - least(0, min(total)) > 0""")
+def restore_full_state(spark, d):
+    """A snapshot of messages, subscribers, exchanges and bindings at half the log, restored, and the rest of the log applied to it.
+
+    A snapshot is a log of what would make its state: that's how the rest goes on from it.
+    """
+    raft, log = table(spark, d, "raft_commands"), commands(spark, d)
+    half = (log.agg(F.max("seq")).first()[0] or 0) // 2
+    early, shape = log.where(F.col("seq") <= half), ["seq", "cmd_type", "msg_id", "topic", "subscriber_id", "exchange_name", "exchange_type", "queue_name", "binding_key"]
+
+    def rows(df, bucket, kind, **columns):
+        have = {"seq": F.lit(half).cast("long"), "cmd_type": F.lit(kind), **columns}
+        return df.select(F.lit(bucket).alias("bucket"), *[have.get(c, F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in shape])
+
+    state = [
+        rows(raft_state(raft.where(F.col("log_index") <= half)), "messages", 1, seq=F.col("pos")), rows(subscriptions(early), "subscribers", 9, seq=F.col("from_seq")),
+        rows(_exchanges(early), "exchanges", 11), rows(_bindings(early).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n")))), "bindings", 13),
+    ]
+    path = fresh_dir(spark, "full-state")
+    write_snapshot(reduce(DataFrame.unionByName, state), path)
+    back = read_snapshot(spark, path)
+    base = back.where(F.col("bucket") == "messages").select("msg_id", "topic", F.col("seq").alias("pos"))
+    whole = back.where(F.col("bucket") != "messages").select(*shape).unionByName(log.where(F.col("seq") > half).select(*shape))
+    out = lambda df, kind, name, detail, n=F.lit(1): df.select(F.lit(kind).alias("kind"), name.alias("name"), detail.alias("detail"), n.cast("long").alias("n"))
+    return reduce(DataFrame.unionByName, [
+        out(raft_state(raft.where(F.col("log_index") > half), base), "message", F.coalesce("topic", F.lit("")), F.col("msg_id")),
+        out(subscriptions(whole), "subscriber", F.col("topic"), F.col("subscriber_id")), out(_exchanges(whole), "exchange", F.col("exchange_name"), F.col("exchange_type")),
+        out(_bindings(whole), "binding", F.col("exchange_name"), F.concat_ws(" ", "queue_name", "binding_key"), F.col("n")),
+    ])
+
+
+@P.add(f"""with {CMD}, {_BOUND}
+  select exchange_name, queue_name, binding_key, cast(sum(step) - least(0, min(total)) as bigint) as n from s group by all having sum(step) - least(0, min(total)) > 0""")
+def bindings_active(spark, d):
+    """Bindings and how often each is bound. An unbind of nothing does nothing: the walk is floored at 0 at each step,
+    which its sum and its lowest point give without replaying it. Deleting an exchange ends its bindings."""
+    return _bindings(commands(spark, d))
+
+
+
+
 @P.add(f"with {CMD}, {_EXCH} select exchange_name, arg_min(exchange_type, seq) as exchange_type from ex where cmd_type = 11 and seq > gone and exchange_type is not null group by 1")
 def exchanges_active(spark, d):
     """Exchanges declared since they were last deleted, with the type of the first declaration."""
-    log = commands(spark, d).where(F.col("cmd_type").isin(11, 12) & F.col("exchange_name").isNotNull())
-    gone = log.groupBy("exchange_name").agg(F.max(F.when(F.col("cmd_type") == 12, F.col("seq"))).alias("gone"))
-    declared = log.where((F.col("cmd_type") == 11) & F.col("exchange_type").isNotNull()).join(gone, "exchange_name")
-    return declared.where(F.col("seq") > F.coalesce("gone", F.lit(-1))).groupBy("exchange_name").agg(F.min_by("exchange_type", "seq").alias("exchange_type"))
+    return _exchanges(commands(spark, d))
 
 
 @P.add(f"""with {CMD}, first as (select exchange_name, arg_min(exchange_type, seq) as kind from cmd where cmd_type = 11 and exchange_name is not null and exchange_type is not null group by 1)

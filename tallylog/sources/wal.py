@@ -9,8 +9,8 @@ segment is one task; write logs as many segments.
 
 from __future__ import annotations
 
-import glob
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -44,8 +44,26 @@ def decode(stream: BinaryIO) -> Iterator[tuple[int, bytes]]:
         yield body[0], body[1:]
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://")
+#: A segment's name: the commit that wrote it, a mark of its own, the task.
+_SEGMENT = re.compile(r"segment-(\d+)-[0-9a-f]+-\d+\.wal")
+
+
+def _place(path: str) -> tuple:
+    """The file system of a path (local, hdfs://, s3://, gs:// ...) and the folder on it."""
+    from pyarrow import fs
+
+    local = re.fullmatch(r"file:/*(/.*)", path)
+    if local or "://" not in path:
+        return fs.LocalFileSystem(), os.path.abspath(local.group(1) if local else path)
+    return fs.FileSystem.from_uri(path)
+
+
+def _segments(path: str) -> list[str]:
+    from pyarrow import fs
+
+    system, folder = _place(path)
+    found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    return sorted(f.path for f in found if f.is_file and f.base_name.endswith(".wal"))
 
 
 @dataclass
@@ -58,13 +76,13 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[_Segment]:
-        return [_Segment(p) for p in sorted(glob.glob(os.path.join(self.path, "*.wal")))] or [_Segment("")]
+        return [_Segment(p) for p in _segments(self.path)] or [_Segment("")]
 
     def read(self, partition: _Segment) -> Iterator[tuple]:
         if not partition.path:
             return
         name = os.path.basename(partition.path)
-        with open(partition.path, "rb", buffering=1 << 20) as f:
+        with _place(self.path)[0].open_input_stream(partition.path, buffer_size=1 << 20) as f:
             for seq, (kind, data) in enumerate(decode(f)):
                 yield name, seq, kind, data
 
@@ -75,32 +93,45 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    """Each task writes a draft; the commit renames the drafts of the tasks that counted, so retried tasks leave no doubles."""
+    """Each task writes a draft; the commit renames the drafts of the tasks that counted, so retried tasks leave no doubles.
 
-    def __init__(self, path: str):
-        self.path = path
+    Segments are numbered by commit, so what is appended comes after what was there,
+    and carry a mark of the commit, so that two writers at one time don't overwrite
+    each other. Overwriting removes the older segments once the new ones are there.
+    """
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, rows: Iterator) -> _Written:
-        os.makedirs(self.path, exist_ok=True)
-        draft = os.path.join(self.path, f".{uuid.uuid4().hex}.draft")
-        with open(draft, "wb", buffering=1 << 16) as f:
+        system, folder = _place(self.path)
+        system.create_dir(folder, recursive=True)
+        draft = f"{folder}/.{uuid.uuid4().hex}.draft"
+        with system.open_output_stream(draft, buffer_size=1 << 16) as f:
             for row in rows:
                 f.write(encode(row["rec_type"], bytes(row["data"])))
         return _Written(draft)
 
     def commit(self, messages: list[_Written | None]) -> None:
+        system, folder = _place(self.path)
+        older = _segments(self.path)
+        last = max((int(m.group(1)) for p in older if (m := _SEGMENT.fullmatch(os.path.basename(p)))), default=0)
+        mark = uuid.uuid4().hex[:12]
         for i, m in enumerate(messages):
             if m:
-                os.replace(m.draft, os.path.join(self.path, f"segment-{i:05d}.wal"))
+                system.move(m.draft, f"{folder}/segment-{last + 1:010d}-{mark}-{i:06d}.wal")
+        for p in older if self.overwrite else []:
+            system.delete_file(p)
 
     def abort(self, messages: list[_Written | None]) -> None:
+        system, _ = _place(self.path)
         for m in messages:
-            if m and os.path.exists(m.draft):
-                os.remove(m.draft)
+            if m and system.get_file_info(m.draft).is_file:
+                system.delete_file(m.draft)
 
 
 class WalSource(DataSource):
-    """format("wal"): option path is a folder that driver and workers share."""
+    """format("wal"): option path is a folder that driver and workers share, on any file system that pyarrow.fs opens."""
 
     @classmethod
     def name(cls) -> str:
@@ -110,10 +141,10 @@ class WalSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(_local(self.options["path"]))
+        return _Reader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(_local(self.options["path"]))
+        return _Writer(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
