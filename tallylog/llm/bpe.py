@@ -14,6 +14,7 @@ of tokens, so the work is linear in the text.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -159,7 +160,7 @@ _encoders: dict[bytes, Encoder] = {}
 
 def encoder(data: bytes) -> Encoder:
     """The encoder of a vocabulary file's contents; each process makes it once."""
-    key = data[:64] + len(data).to_bytes(8, "big") + data[-64:]
+    key = hashlib.blake2b(data).digest()
     if key not in _encoders:
         _encoders[key] = Encoder(read_ranks(data))
     return _encoders[key]
