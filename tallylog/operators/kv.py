@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallylog.operators.ranges import running
+from tallylog.session import materialized
 
 SET, GET, DEL, EXPIRE, INCR = "signup", "view", "purchase", "error", "click"
 
@@ -56,13 +57,16 @@ def increments(ops: DataFrame) -> DataFrame:
     """
     steps = ops.where(F.col("op").isin(SET, DEL, INCR)).select("seq", "key", "op", "k")
     added = F.when(F.col("op") == INCR, F.col("k")).otherwise(F.lit(0)).cast("long")
-    summed = running(steps, ["key"], "seq", {"total": ("sum", added)}, inclusive=True)
+    summed = materialized(running(steps, ["key"], "seq", {"total": ("sum", added)}, inclusive=True), "increments")
     start = F.when(F.col("op") == SET, F.col("k")).otherwise(F.lit(0)) - F.col("total")
     based = running(summed, ["key"], "seq", {"base": ("max", F.when(F.col("op") != INCR, F.struct("seq", start.alias("start"))))}, inclusive=False)
     return based.where(F.col("op") == INCR).select("seq", "key", (F.col("total") + F.coalesce(F.col("base.start"), F.lit(0))).cast("long").alias("value"))
 
 
 def evicted(live: DataFrame, most: int) -> DataFrame:
-    """Entries beyond the `most` newest: the oldest go first."""
-    keep = live.orderBy(F.desc("created_ns"), "key").limit(most).select("key")
-    return live.join(F.broadcast(keep), "key", "left_anti")
+    """Entries beyond the `most` newest: the oldest go first. Only the entry where the cut lies is taken to the driver."""
+    last = live.select("created_ns", "key").orderBy(F.desc("created_ns"), "key").offset(max(0, most - 1)).limit(1).collect()
+    if not last:
+        return live.limit(0)
+    at, key = last[0]
+    return live.where((F.col("created_ns") < at) | ((F.col("created_ns") == at) & (F.col("key") > key)) | F.lit(most <= 0))

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,12 +36,14 @@ def get_spark(app: str = "tallylog", master: str = "local[8]", **conf: str) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which all executors share.
 
-    Only where the setting is missing (tests, a single machine) a temporary
-    folder is made and set for the session.
+    Only where the setting is missing and all runs on one machine (tests) a temporary
+    folder is made and set for the session; on a cluster that is an error.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tallylog-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -48,9 +51,34 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+class Scratch:
+    """Owns the folders of intermediate tables made while it is entered, and removes them when it is left.
+
+    Results of queries are lazy and read these tables: take them (collect, write)
+    before the end. Without an owner the tables stay until the shared folder goes.
+    """
+
+    _entered: ClassVar[list[Scratch]] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        Scratch._entered.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scratch._entered.remove(self)
+        for path in self.paths:
+            remove_dir(self.spark, path)
+
+
 def fresh_dir(spark: SparkSession, what: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A path below the shared folder that no other run uses; it belongs to the Scratch entered last, if any."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if Scratch._entered:
+        Scratch._entered[-1].paths.append(path)
+    return path
 
 
 def remove_dir(spark: SparkSession, path: str) -> None:
