@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallylog.functions.scalars import DEFAULT_MAX_RETRY, clamp_priority, dead_letter_name, queue_order
@@ -40,21 +40,33 @@ class MessageLog:
         jvm = self.spark.sparkContext._jvm
         place = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        done = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*/_SUCCESS"))
-        return max((int(s.getPath().getParent().getName()[1:]) for s in done or []), default=-1)
+        done = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*/n*/_SUCCESS"))
+        return max((int(s.getPath().getParent().getParent().getName()[1:]) for s in done or []), default=-1)
+
+    def _next_batch(self) -> int:
+        """A number for a batch, claimed by a file that only one writer can make; no data is read."""
+        jvm = self.spark.sparkContext._jvm
+        claims = jvm.org.apache.hadoop.fs.Path(f"{self.path}/claims")
+        fs = claims.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(claims)
+        n = max((int(s.getPath().getName()) for s in fs.listStatus(claims)), default=0) + 1
+        while not fs.createNewFile(jvm.org.apache.hadoop.fs.Path(claims, str(n))):
+            n += 1
+        return n
 
     def commands(self) -> DataFrame:
         """The command table; empty before the first command."""
         version = self._version()
         if version < 0:
             return self.spark.createDataFrame([], COMMANDS)
-        return self.spark.read.schema(COMMANDS).parquet(f"{self.path}/v{version}")
+        return self.spark.read.schema(COMMANDS).parquet(f"{self.path}/v{version}/n*")
 
-    def _append(self, op: str, at_ns: int, rows: DataFrame) -> None:
-        batch = (self.commands().agg(F.max("batch")).first()[0] or 0) + 1
+    def _append(self, op: str, at_ns: int, rows: DataFrame) -> int:
+        batch = self._next_batch()
         have = {"batch": F.lit(batch), "place": F.monotonically_increasing_id(), "op": F.lit(op), "at_ns": F.lit(at_ns)}
         cells = [have.get(c, F.col(c) if c in rows.columns else F.lit(None)).cast(_TYPES[c]).alias(c) for c in _COLUMNS]
-        rows.select(*cells).write.mode("append").parquet(f"{self.path}/v{max(0, self._version())}")
+        rows.select(*cells).write.parquet(f"{self.path}/v{max(0, self._version())}/n{batch}")
+        return batch
 
     def _one(self, op: str, at_ns: int, **cells) -> None:
         self._append(op, at_ns, self.spark.range(1).select(*[_literal(v).alias(c) for c, v in cells.items()]))
@@ -87,9 +99,8 @@ class MessageLog:
         """Deliver the first n ready messages of each queue (or of one); they are pending from then on."""
         ready = self.ready(at_ns)
         first = queueing.head(ready if queue is None else ready.where(F.col("queue") == queue), n, "queue")
-        self._append("deliver", at_ns, first)
-        batch = self.commands().agg(F.max("batch")).first()[0]
-        return self.commands().where((F.col("batch") == batch) & (F.col("op") == "deliver")).select("queue", "msg_id", "payload", "priority")
+        batch = self._append("deliver", at_ns, first)
+        return self.commands().where(F.col("batch") == batch).select("queue", "msg_id", "payload", "priority")
 
     def process(self, handle: Callable[[DataFrame], None], n: int, at_ns: int, queue: str | None = None) -> bool:
         """Deliver, hand the messages to `handle`, and acknowledge them; reject them all if it raises. Whether it went well."""
@@ -103,6 +114,7 @@ class MessageLog:
         return True
 
     def ack(self, ids: DataFrame, at_ns: int) -> None:
+        """Acknowledge what is pending; an answer to anything else changes nothing (see answers)."""
         self._append("ack", at_ns, _valid(ids, "msg_id"))
 
     def nack(self, ids: DataFrame, at_ns: int) -> None:
@@ -115,6 +127,13 @@ class MessageLog:
         """Reject, in the consumers' place, all pending messages whose answer is overdue."""
         self._append("nack", at_ns, self.timed_out(at_ns).select("msg_id"))
 
+    def tick(self, at_ns: int, compact_above: int | None = None) -> None:
+        """One turn of the scheduler. What is due is ready, and what has expired is gone, by the time alone; then overdue
+        deliveries go back to their queues, and a log of more than compact_above bytes is compacted."""
+        self.requeue_timed_out(at_ns)
+        if compact_above is not None and self.storage_size() > compact_above:
+            self.checkpoint(at_ns)
+
     def purge(self, queue: str, at_ns: int) -> None:
         self._one("purge", at_ns, queue=queue)
 
@@ -143,13 +162,28 @@ class MessageLog:
 
     # asking
 
+    def _log(self, as_of: int) -> DataFrame:
+        """The commands up to an instant, with `counts`: an acknowledgement or rejection counts only when the message's
+        last delivery hasn't been answered before."""
+        log = self.commands().where(F.col("at_ns") <= as_of)
+        step = F.col("op").isin("deliver", "ack", "nack") & F.col("msg_id").isNotNull()
+        along = Window.partitionBy("msg_id").orderBy("batch", "place").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.last("op").over(along)
+        answers = log.where(step).withColumn("counts", F.when(F.col("op") == "deliver", F.lit(True)).otherwise(F.coalesce(before == "deliver", F.lit(False))))
+        return answers.unionByName(log.where(~step).withColumn("counts", F.lit(True)))
+
+    def answers(self, as_of: int) -> DataFrame:
+        """(msg_id, op, at_ns, accepted) of every acknowledgement and rejection; those not accepted met nothing pending."""
+        return self._log(as_of).where(F.col("op").isin("ack", "nack")).select("msg_id", "op", "at_ns", F.col("counts").alias("accepted"))
+
     def states(self, as_of: int) -> DataFrame:
         """One row per message: queue, msg_id, payload, headers, priority, lvl, seq, retry, deliveries, due_ns, expires_ns, delivered_ns, state.
 
         A purge takes what waits in the queue at that time: messages that nothing
-        happened to since. Everything combines per message before the shuffle.
+        happened to since. Answers count only for what is pending. Commands meet their
+        message's others by one shuffle.
         """
-        log = self.commands().where(F.col("at_ns") <= as_of)
+        log = self._log(as_of).where("counts")
         order = F.struct("batch", "place")
         when = lambda *ops: F.col("op").isin(*ops)
         body = F.struct("batch", "place", "queue", "payload", "headers", "priority", "retry", "at_ns", "delay_ns", "ttl_ns")
@@ -267,7 +301,7 @@ class MessageLog:
         over = self.states(as_of).where(F.col("state").isin("acked", "expired", "purged")).select("msg_id")
         about_messages = F.col("op").isin("publish", "deliver", "ack", "nack", "promote")
         kept = log.where(about_messages).join(over, "msg_id", "left_anti").select(*_COLUMNS).unionByName(log.where(~about_messages).select(*_COLUMNS))
-        kept.write.mode("overwrite").parquet(f"{self.path}/v{self._version() + 1}")
+        kept.write.mode("overwrite").parquet(f"{self.path}/v{self._version() + 1}/n0")
 
 
 def _valid(rows: DataFrame, *columns: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallylog.functions import scalars as S
-from tallylog.operators import kv, queueing, routing, stats
+from tallylog.operators import kv, queueing, routing, stats, walks
 from tallylog.session import ship
 from tallylog.sources import frames, generator, snapshots, wal
 from tallylog.streaming import jobs
@@ -141,7 +141,13 @@ def test_log_source(spark, tmp_path):
     assert spark.read.format("wal").load(str(tmp_path)).count() == 0
     df = spark.createDataFrame([(1, b"a"), (2, b"b"), (2, b"")], "rec_type int, data binary").coalesce(1)
     df.write.format("wal").mode("append").save(str(tmp_path / "log"))
-    assert [(r["seq"], r["rec_type"], bytes(r["data"])) for r in spark.read.format("wal").load(str(tmp_path / "log")).orderBy("seq").collect()] == [(0, 1, b"a"), (1, 2, b"b"), (2, 2, b"")]
+    read = lambda: [(r["seq"], r["rec_type"], bytes(r["data"])) for r in spark.read.format("wal").load(str(tmp_path / "log")).orderBy("segment", "seq").collect()]
+    assert read() == [(0, 1, b"a"), (1, 2, b"b"), (2, 2, b"")]
+    more = spark.createDataFrame([(3, b"c")], "rec_type int, data binary").coalesce(1)
+    more.write.format("wal").mode("append").save(f"file://{tmp_path}/log")
+    assert read() == [(0, 1, b"a"), (1, 2, b"b"), (2, 2, b""), (0, 3, b"c")]
+    more.write.format("wal").mode("overwrite").save(str(tmp_path / "log"))
+    assert read() == [(0, 3, b"c")]
 
 
 def test_snapshot_and_load(spark, tmp_path):
@@ -191,3 +197,55 @@ def test_a_stopped_stream_goes_on(spark, tmp_path):
         query.processAllAvailable()
         query.stop()
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == sorted(((i,) for i in range(30)), key=repr)
+
+
+def test_late_and_repeated_commands_of_a_stream(spark, tmp_path):
+    """A rejection that comes a batch before its publish counts; a command that comes again doesn't."""
+    start = datetime(2024, 1, 1)
+    batches = [[(1, 2, "nack", 5)], [(1, 1, "publish", 0), (1, 2, "nack", 5)], [(1, 3, "ack", 9)], [(1, 3, "ack", 9), (2, 4, "publish", 500)], [(1, 1, "publish", 0)]]
+    for i, batch in enumerate(batches):
+        data = [(k, seq, op, int((start - datetime(1970, 1, 1)).total_seconds() + s) * 1000, start + timedelta(seconds=s)) for k, seq, op, s in batch]
+        spark.createDataFrame(data, "key long, seq long, op string, at_ms long, at timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+    source = spark.readStream.schema("key long, seq long, op string, at_ms long, at timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+
+    def keep(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(str(tmp_path / "out" / f"n={number}"))
+
+    run_to_end(jobs.lifecycles(source, 2, late="1 minute"), str(tmp_path / "x"), str(tmp_path / "c"), mode="update", each=keep)
+    found = spark.read.parquet(str(tmp_path / "out")).where("key = 1").orderBy("batch").collect()
+    assert [(r["state"], r["retry"]) for r in found][:4] == [("none", 0), ("ready", 1), ("acked", 1), ("acked", 1)] and (found[-1]["state"], found[-1]["retry"]) == ("acked", 1)
+
+
+def test_many_bindings_on_a_stream(spark, tmp_path):
+    data = [(i, "x", k, {"a": k}) for i, k in enumerate(("order.new", "user", None, "order.\\E.vn", "q300"))]
+    spark.createDataFrame(data, MESSAGES).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(MESSAGES).parquet(str(tmp_path / "in"))
+    patterns = [f"q{i}" for i in range(301)] + ["order.#", "#", "order.\\E.*"]
+    many = spark.createDataFrame([("x", p, p, {"a": p}, True) for p in patterns], BINDINGS)
+    for kind in ("topic", "direct", "fanout", "headers"):
+        run_to_end(jobs.fan_out(stream(), many, kind), str(tmp_path / kind), str(tmp_path / f"c{kind}"))
+        got = rows(spark.read.parquet(str(tmp_path / kind)).select("seq", "queue"))
+        assert got == rows(routing.route(spark.createDataFrame(data, MESSAGES), many, kind).select("seq", "queue"))
+        assert len(got) == {"topic": 8, "direct": 1, "fanout": 5 * len(patterns), "headers": 1}[kind]
+
+
+@pytest.mark.parametrize("ranges", [1, 5])
+def test_bounded_counters(spark, ranges):
+    rng = random.Random(ranges)
+    data = [(rng.choice("aab"), i, rng.choice([1, 1, -1, -1, 2, None])) for i in range(400)]
+    state, want = {"a": 0, "b": 0}, []
+    for key, i, step in data:
+        full = state[key] + (step or 0)
+        state[key] = min(3, max(0, full))
+        want.append((key, i, state[key], state[key] != full))
+    df = spark.createDataFrame(data, "key string, seq long, step int").repartition(4)
+    assert rows(walks.bounded(df, "key", "seq", F.col("step"), 0, 3, ranges)) == sorted(want, key=repr)
+    assert rows(walks.bounded(df.limit(0), "key", "seq", F.col("step"), 0, 3)) == []
+    clash = df.select("*", F.lit(1).alias("__step"), F.lit(2).alias("value"))
+    assert walks.bounded(clash, "key", "seq", F.col("step"), 0, 3, ranges).count() == 400
+
+
+def test_a_message_at_its_limit_is_alive(spark):
+    """The limit says how often a message may be tried again: one more is dead."""
+    got = spark.createDataFrame([(4, 5), (5, 5), (6, 5), (0, 0), (1, 0)], "retry int, most int").select("retry", "most", S.is_dead(F.col("retry"), F.col("most")).alias("dead"))
+    assert [r["dead"] for r in got.collect()] == [False, False, True, False, True]

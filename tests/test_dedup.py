@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from tallylog.streaming.dedup import superfluous_copies
+from tallylog.streaming.dedup import Left, superfluous_copies
 from tests.conftest import rows
 
 SHAPE = "row_id long, received_at timestamp, id string, delivery_count int, retry int, payload string, msg_id string, rank string, best string"
@@ -60,3 +60,36 @@ def test_a_key_with_most_rows(spark, tmp_path):
     data = [(i, START + timedelta(seconds=i), "hot" if i % 2 else f"id{i}", i % 7, 0, None, None, None, None) for i in range(6000)]
     spark.createDataFrame(data, SHAPE).write.parquet(str(tmp_path / "m"))
     assert rows(superfluous_copies(spark, str(tmp_path / "m"))) == brute(data)
+
+
+def put(spark, path, data):
+    spark.createDataFrame(data, SHAPE).coalesce(1).write.mode("append").parquet(str(path))
+
+
+def test_any_number_of_batches(spark, tmp_path):
+    data = make(7, 320)
+    for i in range(16):
+        put(spark, tmp_path / "m", data[i * 20 : i * 20 + 20])
+    for batches in (1, 16):
+        assert rows(superfluous_copies(spark, str(tmp_path / "m"), "30 minutes", batches=batches)) == brute(data)
+
+
+def test_a_later_call_reads_only_what_is_new(spark, tmp_path):
+    data, store = make(8), str(tmp_path / "store")
+    put(spark, tmp_path / "m", data[:200])
+    assert rows(superfluous_copies(spark, str(tmp_path / "m"), "30 minutes", store=store)) == brute(data[:200])
+    put(spark, tmp_path / "m", data[200:])
+    assert rows(superfluous_copies(spark, str(tmp_path / "m"), "30 minutes", store=store)) == brute(data)
+    decided = spark.read.parquet(f"{store}/decisions").groupBy("kind", "row_id").count()
+    assert decided.where("count > 1").isEmpty()  # no row was decided twice
+
+
+def test_filter_of_what_left_forgets_nothing_and_finds_little_else():
+    import numpy as np
+
+    rng, left = np.random.default_rng(1), Left()
+    known = rng.integers(0, 1 << 64, 60_000, dtype=np.uint64)
+    for part in np.array_split(known, 7):
+        left.add(part)
+    assert left.has(known).all() and left.has(rng.integers(0, 1 << 64, 50_000, dtype=np.uint64)).mean() < 0.01
+    assert len(left.layers) > 2 and not Left().has(known).any()

@@ -179,3 +179,10 @@ def test_payload_rules():
     kinds = {k: kind_of(v) for k, v in read_object('{"i": 1, "d": 1.0, "e": 1e3, "s": "1", "b": true, "l": [1]}').items()}
     assert kinds == {"i": "integer", "d": "decimal", "e": "integer", "s": "string", "b": "boolean", "l": "array"}
     assert fingerprint(1) == fingerprint(1.0) != fingerprint(True) != fingerprint("1")
+
+
+def test_one_message_with_most_rows(spark):
+    """A field's values combine per message, so thousands of rows under one id cost what they are."""
+    data = [(i, "p", 1 + i % 2, "hot", json.dumps({"old" if i % 2 == 0 else "new": i})) for i in range(4000)]
+    data += [(5000 + 2 * i + n, "p", 1 + n, f"m{i}", json.dumps({"a" if n == 0 else "b": f"v{i}"})) for i in range(600) for n in (0, 1)]
+    assert rows(schema_changes(spark.createDataFrame(data, SHAPE))) == [("p", 2, "added", "new", ""), ("p", 2, "removed", "old", ""), ("p", 2, "renamed", "a", "b")]

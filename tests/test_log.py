@@ -86,3 +86,38 @@ def test_handlers_answer_for_their_batch(spark, log):
     assert not log.process(lambda df: 1 / 0, 5, 3 * S)
     assert len(seen) == 1 and sorted(states(log, 4 * S).values()) == ["acked", "ready"]
     assert log.states(4 * S).agg(F.sum("retry")).first()[0] == 1
+
+
+def test_only_pending_messages_can_be_answered(spark, log):
+    log.publish(ids(spark, "a", "b", "c").withColumn("queue", F.lit("q")), S)
+    log.nack(ids(spark, "a"), 2 * S)
+    log.nack(ids(spark, "a"), 2 * S)
+    log.ack(ids(spark, "b", "nowhere"), 2 * S)
+    assert set(states(log, 3 * S).values()) == {"ready"}
+    log.consume(3, 3 * S)
+    log.ack(ids(spark, "a"), 4 * S)
+    log.ack(ids(spark, "a"), 5 * S)
+    log.nack(ids(spark, "b"), 5 * S)
+    log.nack(ids(spark, "b"), 5 * S)
+    assert states(log, 6 * S) == {"a": "acked", "b": "ready", "c": "pending"}
+    got = rows(log.answers(6 * S).select("msg_id", "op", "accepted"))
+    assert got.count(("a", "ack", True)) == 1 and got.count(("a", "ack", False)) == 1 and got.count(("b", "nack", True)) == 1 and sum(not g[2] for g in got) == 6
+
+
+def test_ticks_send_overdue_deliveries_back_and_compact(spark, log):
+    log.publish(ids(spark, "a", "b").withColumn("queue", F.lit("q")), S)
+    log.consume(1, 2 * S)
+    log.tick(10 * S)
+    assert sorted(states(log, 11 * S).values()) == ["pending", "ready"]
+    log.tick(40 * S)
+    assert set(states(log, 41 * S).values()) == {"ready"} and log.states(41 * S).agg(F.sum("retry")).first()[0] == 1
+    before = rows(log.states(41 * S).drop("headers"))
+    log.tick(42 * S, compact_above=0)
+    log.tick(43 * S)
+    assert rows(log.states(43 * S).drop("headers")) == before
+
+
+def test_batches_of_two_writers_have_numbers_of_their_own(spark, log):
+    other = MessageLog(spark, log.path, max_retry=1)
+    taken = [w._next_batch() for w in (log, other, log, other)]
+    assert taken == [1, 2, 3, 4]
