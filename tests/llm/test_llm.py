@@ -85,14 +85,15 @@ def brute_leaks(docs, items, window, edits):
     return sorted(out, key=repr)
 
 
+@pytest.mark.parametrize("sent", [1 << 20, 0], ids=["sent", "joined"])
 @pytest.mark.parametrize("edits", [0, 1, 2])
-def test_leaks_like_brute_force(spark, edits):
+def test_leaks_like_brute_force(spark, edits, sent):
     rng = random.Random(edits)
     vocabulary = ["Ähre", "word", "x1", "The", "naïve", "it's", "éa", "a_b", "ΑΣ"]
     text = lambda n: "".join(rng.choice(vocabulary) + rng.choice([" ", ", ", "\n", "-"]) for _ in range(n))
     items = [(i, text(rng.randrange(4, 12))) for i in range(12)] + [(90, None), (91, ""), (None, text(9)), (3, text(8))]
     docs = [(i, text(rng.randrange(0, 12)) + (rng.choice(items)[1] or "")[rng.randrange(0, 20) :].upper() + text(3)) for i in range(25)] + [(50, None), (51, ""), (52, " \n")]
-    got = leakage.find_leaks(spark.createDataFrame(docs + docs[:2], DOCS), spark.createDataFrame(items + items[:2], ITEMS), window=6, max_edits=edits, items_per_pass=7)
+    got = leakage.find_leaks(spark.createDataFrame(docs + docs[:2], DOCS), spark.createDataFrame(items + items[:2], ITEMS), window=6, max_edits=edits, sent_bytes=sent)
     assert rows(got.select("doc_id", "item_id")) == brute_leaks(docs, items, 6, edits)
 
 
@@ -168,3 +169,51 @@ def test_rest_of_the_library_does_without():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "tallylog.llm" not in p.read_text()
+
+
+def test_vocabularies_of_equal_length_and_ends_are_told_apart():
+    import base64
+
+    lines = [f"{base64.b64encode(bytes([b])).decode()} {b}" for b in range(256)]
+    first, second = ("\n".join([*lines[:100], *lines[100:], f"{base64.b64encode(t).decode()} 256", *[f"{base64.b64encode(x).decode()} {257 + i}" for i, x in enumerate((b"xx", b"yy", b"zz", b"ww", b"vv", b"uu"))]]).encode() for t in (b"ab", b"cd"))
+    assert len(first) == len(second) and first[:64] == second[:64] and first[-64:] == second[-64:]
+    assert bpe.encoder(first).encode("ab") == [256] and bpe.encoder(second).encode("cd") == [256] and bpe.encoder(second).encode("ab") == [97, 98]
+
+
+def test_planted_edits_are_all_found(spark):
+    """One word of a passage's window replaced, left out or put in: each such document is found (recall 1)."""
+    rng = random.Random(4)
+    items = [(r["item_id"], r["passage"]) for r in spark.read.parquet(str(common.DATA / "sf0.001" / "eval_items.parquet")).collect()]
+    docs, want = [], set()
+    for i, (item, passage) in enumerate(items):
+        ws = leakage.words(passage)
+        if len(ws) >= 12:
+            at = rng.randrange(len(ws) - 11)
+            part, k = ws[at : at + 12], rng.randrange(12)
+            part[k : k + rng.choice([0, 1])] = rng.choice([[], ["unseenword"]])
+            docs.append((i, " ".join(["before", *part, "after"])))
+            want.add((i, item))
+    found = {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), max_edits=1).collect()}
+    assert len(want) > 100 and want <= found
+
+
+def test_components_like_brute_force(spark):
+    rng = random.Random(11)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 2000 + i) for i in range(200)] + [(7, 7), (None, 3)]
+    least = {}
+    for a, b in links:
+        if a is not None and a != b:
+            least.setdefault(a, a), least.setdefault(b, b)
+    for _ in range(400):
+        for a, b in links:
+            if a in least and a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert rows(spans.components(spark.createDataFrame(links, "a long, b long"))) == sorted(least.items(), key=repr)
+    assert rows(spans.components(spark.createDataFrame([], "a long, b long"))) == []
+
+
+def test_groups_of_documents_that_share(spark):
+    rng = random.Random(3)
+    part = ["".join(rng.choice("abcdef ") for _ in range(250)) for _ in range(3)]
+    data = [(9, part[0] + "x" * 50), (4, part[1] + part[0]), (2, "y" + part[1][:220]), (7, part[2]), (8, None), (5, part[2][:150])]
+    assert rows(spans.shared_groups(spark.createDataFrame(data, DOCS))) == [(2, 2), (4, 2), (9, 2)]
