@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallylog.functions.scalars import DEFAULT_MAX_RETRY, clamp_priority, dead_letter_name, queue_order
 from tallylog.operators import queueing, routing
+from tallylog.operators.joins import join_salted
 from tallylog.operators.stats import long_format
 
 #: One row per command; columns that an operation doesn't use are null.
@@ -270,7 +271,7 @@ class MessageLog:
     def inbox(self) -> DataFrame:
         """(queue, subscriber, msg_id, payload): what was published to each subscriber's topic since it subscribed."""
         sent = self.commands().where(F.col("op") == "publish_topic").select("queue", "msg_id", "payload", F.struct("batch", "place").alias("at"))
-        return sent.join(self.subscribers(), "queue").where(F.col("at") > F.col("since")).select("queue", "subscriber", "msg_id", "payload")
+        return join_salted(sent, self.subscribers(), "queue", "msg_id").where(F.col("at") > F.col("since")).select("queue", "subscriber", "msg_id", "payload")
 
     def stats(self, as_of: int) -> DataFrame:
         """(kind, name, n): depth per queue and dead-letter queue, subscribers per topic, messages per state."""

@@ -1,10 +1,12 @@
-"""Joins against a table with unique keys when the other side is skewed."""
+"""Joins when one side is skewed."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallylog.session import parallelism
+
 #: At most this many keys can each hold more than 1/HEAVY_KEYS of all rows, so a
 #: table of such keys has a proven size bound and may be broadcast.
 HEAVY_KEYS = 1000
@@ -27,3 +29,15 @@ def join_counted(rows: DataFrame, unique: DataFrame, keys: list[str], count: str
     a = marked.where(F.col("__heavy").isNotNull()).select(*keys, *[c for c in rows.columns if c not in keys], *[F.col(f"__heavy.`{c}`").alias(c) for c in others])
     b = marked.where(F.col("__heavy").isNull()).drop("__heavy").join(light, keys)
     return a.unionByName(b)
+
+
+def join_salted(rows: DataFrame, few: DataFrame, key: str, spread: str) -> DataFrame:
+    """Inner join of rows with a much smaller table that may have several rows per key.
+
+    A busy key's rows are spread, by a hash of the column `spread`, over as many salts
+    as tasks run, and the smaller table goes to each. Null keys never match.
+    """
+    salts = parallelism(rows.sparkSession)
+    a = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    b = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return a.join(b, [key, "__salt"]).drop("__salt")

@@ -8,10 +8,11 @@ from tallylog.functions import scalars as S
 from tallylog.functions.scalars import is_dead
 from tallylog.operators import queueing, routing, walks
 from tallylog.operators.changes import message_steps, wal_live
+from tallylog.operators.joins import join_salted
 from tallylog.operators.ranges import positions, running
 from tallylog.plans.base import AS_OF, CMD, EV, EVERY, LIVES, MSG, WAL, Plans, commands, events, messages, wal
 from tallylog.plans.scalars import _STATE, state_of
-from tallylog.session import fresh_dir, parallelism, ship
+from tallylog.session import fresh_dir, ship
 from tallylog.sources import wal as wal_source
 from tallylog.sources.tables import table
 
@@ -356,7 +357,7 @@ def active_subscribers(spark, d):
 @P.add(f"with {CMD}, {_SUBS} select c.seq, s.subscriber_id from cmd c join subs s on c.topic = s.topic where c.cmd_type = 4")
 def pubsub_fanout(spark, d):
     log = commands(spark, d)
-    return _salted(log.where((F.col("cmd_type") == 4) & F.col("topic").isNotNull()).select("seq", "topic"), subscriptions(log), "topic").select("seq", "subscriber_id")
+    return join_salted(log.where((F.col("cmd_type") == 4) & F.col("topic").isNotNull()).select("seq", "topic"), subscriptions(log), "topic", "seq").select("seq", "subscriber_id")
 
 
 #: What is published: to subscribers (4) and, for the topics' load in these tables, to queues (1).
@@ -419,18 +420,10 @@ def subscriber_drops(spark, d):
     hour = F.date_trunc("hour", "applied_at").cast("timestamp_ntz").alias("hour")
     sent = log.where(F.col("cmd_type").isin(*_SENT) & F.col("applied_at").isNotNull()).select("topic", "seq", hour)
     # of the subscribers of a busy topic each message meets those in a salted part: no topic is one task's work
-    per = _salted(sent, spans, "topic").where(F.col("seq").between(F.col("since") + 1, F.col("until") - 1)).groupBy("topic", "subscriber_id", "hour").agg(F.count("*").alias("n"))
+    per = join_salted(sent, spans, "topic", "seq").where(F.col("seq").between(F.col("since") + 1, F.col("until") - 1)).groupBy("topic", "subscriber_id", "hour").agg(F.count("*").alias("n"))
     return per.where(F.col("n") > BUFFER).select("topic", "subscriber_id", "hour", F.least("n", F.lit(BUFFER)).cast("long").alias("delivered"), (F.col("n") - BUFFER).alias("dropped"))
 
 
-def _salted(rows, few, key):
-    """rows joined with a smaller table that has several rows per key: rows are spread over as many salts as tasks run, the smaller table goes to each."""
-    salts = parallelism(rows.sparkSession)
-    a = rows.withColumn("__salt", F.pmod(F.xxhash64("seq"), F.lit(salts)).cast("int"))
-    b = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return a.join(b, [key, "__salt"]).drop("__salt")
-
-
 @P.add(f"""with {WAL} select distinct node_id, msg_id from wal w where rec_type = 1 and msg_id is not null
   and not exists (select 1 from wal a where a.rec_type = 2 and a.node_id = w.node_id and a.msg_id = w.msg_id)""")
 def wal_active(spark, d):

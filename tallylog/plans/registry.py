@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tallylog.plans import datasets, queues, scalars, state, streams
+from tallylog.plans import brokers, datasets, queues, scalars, state, streams
 
 FLAGSHIP = "route_topic"
 
-_PLANS = [scalars.P, queues.P, state.P, streams.P]
+_PLANS = [scalars.P, queues.P, state.P, streams.P, brokers.P]
 
 
 def queries() -> dict:
