@@ -15,7 +15,9 @@ group of m copies costs m rows and never pairs.
 
 For what to remove together, documents that share a stretch are clustered by
 components: each is linked with the least document that has the stretch, which
-connects the same documents as all their pairs would.
+connects the same documents as all their pairs would. Links also need the paragraphs
+of a contested MinHash whose runs are all shared as a whole, as groups of copies
+that differ may have one in common.
 """
 
 from __future__ import annotations
@@ -175,8 +177,11 @@ def covered(stretches: DataFrame) -> DataFrame:
     return new.groupBy("doc_id").agg(F.sum("new").cast("long").alias("shared_chars")).where(F.col("shared_chars") > 0)
 
 
-def _shared(docs: DataFrame, span: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """Stretches (doc_id, start, end) that other documents have too, and links (a, b), b < a, between documents that share one."""
+def _shared(docs: DataFrame, span: int, gram: int, linked: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """Stretches (doc_id, start, end) that other documents have too, and links (a, b), b < a, between documents that share one.
+
+    Without `linked` there are no links, and no work for them alone.
+    """
     spark = docs.sparkSession
     ship(spark)
     texts = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= span)).select(F.col("doc_id").cast("long"), "text")
@@ -204,11 +209,11 @@ def _shared(docs: DataFrame, span: int, gram: int) -> tuple[DataFrame, DataFrame
     places = join_counted(found, shared_runs, ["anchor", "run"], "n", total)
     whole = places.select("doc_id", F.col("first").alias("start"), (F.col("last") + span).alias("end"))
     # anchors of several documents whose runs differ: their runs are compared paragraph by paragraph,
-    # each content once; of contents that only one document has, the result is needed
+    # each content once; the stretches need the result only for contents that one document has, the links for all
     contested = (
         same.groupBy("anchor")
         .agg(F.min("at.doc_id").alias("low"), F.max("high").alias("top"), F.count("*").alias("kinds"), F.bool_or(F.col("at.doc_id") == F.col("high")).alias("open"))
-        .where((F.col("low") < F.col("top")) & (F.col("kinds") > 1) & F.col("open"))
+        .where((F.col("low") < F.col("top")) & (F.col("kinds") > 1) & (F.lit(linked) | F.col("open")))
         .select("anchor", "kinds")
     )
     wanted = (
@@ -245,8 +250,11 @@ def _shared(docs: DataFrame, span: int, gram: int) -> tuple[DataFrame, DataFrame
         .select("doc_id", "first", F.inline("stretches"))
         .select("doc_id", (F.col("first") + F.col("a")).alias("start"), (F.col("first") + F.col("b") + span).alias("end"))
     )
+    all_stretches = whole.unionByName(parts)
+    if not linked:
+        return all_stretches, None
     links = places.select(F.col("doc_id").alias("a"), F.col("least").alias("b")).unionByName(common.select(F.col("low").alias("a"), F.col("least").alias("b")))
-    return whole.unionByName(parts), links.where(F.col("b") < F.col("a")).distinct()
+    return all_stretches, links.where(F.col("b") < F.col("a")).distinct()
 
 
 def shared_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -257,7 +265,7 @@ def shared_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFra
     with one another. Rows without a doc_id are left out, other columns ignored.
     Any share of the documents may be copies of one text. doc_id is an integer.
     """
-    return covered(_shared(docs, span, gram)[0])
+    return covered(_shared(docs, span, gram, linked=False)[0])
 
 
 def components(links: DataFrame) -> DataFrame:

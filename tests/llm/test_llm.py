@@ -219,3 +219,34 @@ def test_groups_of_documents_that_share(spark):
     part = ["".join(rng.choice("abcdef ") for _ in range(250)) for _ in range(3)]
     data = [(9, part[0] + "x" * 50), (4, part[1] + part[0]), (2, "y" + part[1][:220]), (7, part[2]), (8, None), (5, part[2][:150])]
     assert rows(spans.shared_groups(spark.createDataFrame(data, DOCS))) == [(2, 2), (4, 2), (9, 2)]
+
+
+def test_groups_of_copies_that_share_only_a_part(spark):
+    """Every stretch's run has several documents as a whole; what links the groups is a part of two runs that differ."""
+    rng = random.Random(5)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    core, other = make(203), make(199)
+    texts = [(make(120) + core + make(150)), (make(90) + core + make(130)), core, (make(100) + other + make(100)), (make(100) + other + make(100))]
+    data = [(10 * i + k, t) for i, t in enumerate(texts) for k in (1, 2)]
+    df = spark.createDataFrame(data, DOCS)
+    assert rows(spans.shared_groups(df)) == sorted([(d, 1 if d < 30 else d // 10 * 10 + 1) for d, _ in data], key=repr)
+    assert rows(spans.shared_spans(df)) == brute_spans(data, 200)
+
+
+def test_groups_like_brute_force(spark):
+    rng = random.Random(0)
+    make = lambda n: "".join(rng.choice("abcdefg ") for _ in range(n))
+    core = [make(rng.randrange(20, 32)) for _ in range(12)]
+    texts = [make(rng.randrange(30)) + "".join(rng.choice(core)[rng.randrange(3) :] + make(rng.randrange(20)) for _ in range(rng.randrange(3))) for _ in range(40)]
+    data = [(3 * i + k, t) for i, t in enumerate(texts) for k in range(rng.choice([1, 2, 3]))]
+    where: dict = {}
+    for d, t in data:
+        for s in range(len(t) - 19):
+            where.setdefault(t[s : s + 20], set()).add(d)
+    least = {d: d for ds in where.values() if len(ds) > 1 for d in ds}
+    for _ in range(len(least)):
+        for ds in where.values():
+            if len(ds) > 1:
+                low = min(least[d] for d in ds)
+                least.update(dict.fromkeys(ds, low))
+    assert rows(spans.shared_groups(spark.createDataFrame(data, DOCS), span=20, gram=10)) == sorted(least.items(), key=repr)
